@@ -70,9 +70,9 @@ class _Chunked:
         if len(new):
             fresh, first, back = np.unique(h[new], return_index=True, return_inverse=True)
             if self.index.n + len(fresh) > self.index.capacity:
+                while len(fresh) * 2 > self.index.capacity:  # one huge text; a larger table for it
+                    self.index = HashIndex(self.index.bits + 1)
                 self._reset()
-                if len(fresh) > self.index.capacity:
-                    raise ValueError("one text holds more different chunks than the cache")
                 return self._entries(data, starts, ends)
             raw = data.tobytes()
             self._store([raw[s:e].decode() for s, e in zip(starts[new[first]].tolist(), ends[new[first]].tolist())])
