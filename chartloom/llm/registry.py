@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from chartloom.llm import language, packing, sharding, token_counts, token_files, url_filter
+from chartloom.llm import fingerprint, language, packing, sharding, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op3_sharding": sharding.query,
     "op6_url_filter": url_filter.query,
+    "op7_fingerprint": fingerprint.query,
     "op8_token_counts": token_counts.query,
     "op9_token_files": token_files.query,
     "op10_language_id": language.query,
