@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from chartloom.llm import fingerprint, language, packing, sharding, token_counts, token_files, url_filter
+from chartloom.llm import fingerprint, language, packing, pii, sharding, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op3_sharding": sharding.query,
+    "op4_pii": pii.query,
     "op6_url_filter": url_filter.query,
     "op7_fingerprint": fingerprint.query,
     "op8_token_counts": token_counts.query,
