@@ -73,6 +73,7 @@ def count_tokens(
 
     # Repeated rows may have been encoded more than once: one count a key.
     counts = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    counts = store.materialize(counts, "token-counts")  # joined as a plain table, so that a hot digest's rows can be split
     return keyed.join(counts, F.col("__digest") == F.col("digest")).select("__row.*", F.col("__bytes").alias("n_bytes"), "n_tokens")
 
 
