@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from chartloom.llm import fingerprint, language, packing, pii, sharding, token_counts, token_files, url_filter
+from chartloom.llm import decontaminate, fingerprint, language, near_duplicates, packing, pii, sharding, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_decontamination": decontaminate.query,
     "op3_sharding": sharding.query,
     "op4_pii": pii.query,
+    "op5_ngram_jaccard_join": near_duplicates.query,
     "op6_url_filter": url_filter.query,
     "op7_fingerprint": fingerprint.query,
     "op8_token_counts": token_counts.query,
