@@ -65,7 +65,7 @@ def _lines(name):
 _AGE = f"date_sub('year', date_of_birth, {DAY})"
 _TIME = "strftime(scheduled_time, '%b %-d, %Y at %-I:%M %p')"
 query("compact_demographics", f"SELECT patient_id, {NAME} || ' | ' || {_AGE} || 'y ' || gender || ' | MRN: ' || left(medical_record_number, 8) || ' | Blood: —' AS line FROM patient")(_lines("demographics"))
-query("compact_medications", f"SELECT patient_id, {NAME} || ' | Meds: ' || left(coalesce(m, 'none'), 200) AS line FROM patient LEFT JOIN (SELECT patient_id, string_agg(medication_name || ' ' || dose, '; ' ORDER BY rx_id, medication_name) AS m FROM medication WHERE coalesce(status, 'Active') = 'Active' GROUP BY 1) USING (patient_id)")(_lines("medications"))
+query("compact_medications", f"SELECT patient_id, {NAME} || ' | Meds: ' || left(coalesce(m, 'none'), 200) AS line FROM patient LEFT JOIN (SELECT patient_id, string_agg(medication_name || ' ' || dose, '; ' ORDER BY rx_id, medication_name || ' ' || dose) AS m FROM medication WHERE coalesce(status, 'Active') = 'Active' GROUP BY 1) USING (patient_id)")(_lines("medications"))
 query("compact_conditions", f"SELECT patient_id, {NAME} || ' | Dx: ' || left(coalesce(c, 'none'), 200) AS line FROM patient LEFT JOIN (SELECT patient_id, string_agg(condition_name, '; ' ORDER BY condition_name) AS c FROM (SELECT DISTINCT patient_id, condition_name FROM record) GROUP BY 1) USING (patient_id)")(_lines("conditions"))
 query(
     "compact_scheduling",

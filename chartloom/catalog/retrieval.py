@@ -166,8 +166,8 @@ def keywords(spark, d):
 @query(
     "keyword_boost",
     f"""{_HITS}, kw AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP}))) AS w FROM q),
-    pr AS (SELECT query_id, doc_id, w, lower(content) AS c FROM hits JOIN kw USING (query_id)), sc AS (SELECT *, greatest(0, 1 - avg(CASE WHEN contains(c, w) THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY query_id, w) / 0.5::DOUBLE) AS scale FROM pr),
-    b AS (SELECT query_id, doc_id, least(0.2::DOUBLE, 0.05::DOUBLE * sum(CASE WHEN contains(c, w) THEN scale + CASE WHEN {_BOUND} THEN scale ELSE 0 END ELSE 0 END)) AS boost FROM sc GROUP BY 1, 2)
+    pr AS (SELECT query_id, doc_id, w, lower(content) AS c FROM hits JOIN kw USING (query_id)), kb AS (SELECT *, greatest(0, 1 - avg(CASE WHEN contains(c, w) THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY query_id, w) / 0.5::DOUBLE) AS scale FROM pr),
+    b AS (SELECT query_id, doc_id, least(0.2::DOUBLE, 0.05::DOUBLE * sum(CASE WHEN contains(c, w) THEN scale + CASE WHEN {_BOUND} THEN scale ELSE 0 END ELSE 0 END)) AS boost FROM kb GROUP BY 1, 2)
     SELECT query_id, doc_id, round(score + coalesce(boost, 0), 6) AS score FROM hits LEFT JOIN b USING (query_id, doc_id)""",
 )
 def keyword_boost(spark, d):
@@ -255,7 +255,7 @@ def hybrid_search(spark, d):
     return _ranked(retrieval.search(corpus(spark, d), queries(spark, d), 10, digits=6)).withColumn("score", F.round("score", 6))
 
 
-@query("hybrid_plain", f"WITH {_bm25(False, 20)}, {_knn(False, 20)}, {_rrf(10)} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rrf WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id IN (SELECT vec_id FROM embeddings) QUALIFY rank <= 10")
+@query("hybrid_plain", f"WITH {_bm25(False, 20)}, {_knn(False, 20)}, {_rrf(10)} SELECT query_id, doc_id, score, n AS rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM rrf WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id IN (SELECT vec_id FROM embeddings)) WHERE n <= 10")
 def hybrid_plain(spark, d):
     """Fusion and resolution without boosts."""
     return _ranked(retrieval.search(corpus(spark, d), queries(spark, d), 10, boosts=False, digits=6))

@@ -261,7 +261,7 @@ def first_seen(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 def elapsed_seconds(events: DataFrame, by: str, ts: str) -> DataFrame:
     """Last minus first event (WIN-04)."""
-    return events.groupBy(by).agg((F.max(F.unix_micros(ts)) - F.min(F.unix_micros(ts))).alias("micros"))
+    return events.groupBy(by).agg((F.max(F.unix_micros(F.col(ts).cast("timestamp"))) - F.min(F.unix_micros(F.col(ts).cast("timestamp")))).alias("micros"))
 
 
 def seed_demo(spark: SparkSession, n: int = 10) -> DataFrame:

@@ -170,6 +170,8 @@ def tier(score: Column) -> Column:
 
 def verify(queries: DataFrame, hits: DataFrame, hard_isolation: bool = False) -> DataFrame:
     """One column per gate, the share passed and the tier; ``hard_isolation`` makes a mix of patients "low"."""
+    # Nine gates read the same few rows of every query.
+    queries, hits = queries.persist(), hits.persist()
     out = queries.select("query_id")
     for name, gate in GATES.items():
         out = out.join(gate(queries, hits).withColumnRenamed("passed", name), "query_id")

@@ -135,6 +135,6 @@ def resolved_status(appointments: DataFrame, records: DataFrame, as_of: str) ->
     note = F.lower(F.col("__note"))
     from_note = F.when(note == "signed", "Completed").when(note == "reviewed", "Ready for Checkout").when(note == "draft", "In Exam")
     past = (F.col("scheduled_time") >= start) & (F.col("scheduled_time") < F.least(now, end))
-    waited = F.when(F.unix_micros(now) - F.unix_micros("scheduled_time") < 900_000_000, "Checked In").otherwise("Waiting triage")
+    waited = F.when(F.unix_micros(now) - F.unix_micros(F.col("scheduled_time").cast("timestamp")) < 900_000_000, "Checked In").otherwise("Waiting triage")
     status = F.when(~F.lower("status").isin(*OPEN_STATUSES), F.col("status")).otherwise(F.coalesce(from_note, F.when(past, waited), F.col("status")))
     return appointments.join(notes, "patient_id", "left").withColumn("resolved_status", status).drop("__note")

@@ -46,7 +46,7 @@ def search(corpus: Corpus, queries: DataFrame, k: int = SETTINGS.top_k, boosts:
 
 def ask(corpus: Corpus, queries: DataFrame, as_of: str, k: int = SETTINGS.top_k) -> tuple[DataFrame, DataFrame]:
     """(used hits, contexts): single pass (RET-15)."""
-    used = postprocess.process(search(corpus, queries, k), queries, as_of)
+    used = postprocess.process(search(corpus, queries, k), queries, as_of).persist()  # at most max_chunks rows a query
     return used, postprocess.assemble(used, queries)
 
 
@@ -91,11 +91,11 @@ def deep_think(corpus: Corpus, queries: DataFrame, as_of: str, passes: int = SET
         hits = search(corpus, keyed.drop("query_id").withColumnRenamed("__key", "query_id"), SETTINGS.multi_pass_top_k)
         hits = hits.withColumnRenamed("query_id", "__key").join(keyed.select("__key", "query_id", "__part"), "__key").drop("__key").withColumn("__pass", F.lit(number))
         everything = hits if everything is None else everything.unionByName(hits)
-        if checkpoint:
-            everything = everything.checkpoint()
+        # A few rows a query; kept so that later passes do not search again.
+        everything = everything.checkpoint() if checkpoint else everything.persist()
         if number + 1 < passes:
             extra = follow_ups(everything, base)
-            current = extra.join(base.drop("text"), "query_id").withColumn("embedding", F.lit(None).cast(base.schema["embedding"].dataType)).select(base.columns)
+            current = extra.join(base.drop("text"), "query_id").withColumn("embedding", F.lit(None).cast(base.schema["embedding"].dataType)).select(base.columns).persist()
     first = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("__pass", "__part", "rank"))
     unique = everything.withColumn("__n", first).where("__n = 1").drop("__n", "__pass", "__part")
     used = postprocess.process(unique, base, as_of, SETTINGS.multi_pass_max_chunks)
