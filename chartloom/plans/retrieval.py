@@ -32,9 +32,10 @@ def search(corpus: Corpus, queries: DataFrame, k: int = SETTINGS.top_k, boosts:
     dropped, as they cannot be resolved.
     """
     scoped = corpus.vectors
-    if corpus.scope and corpus.scope not in scoped.columns:
+    wants_scope = corpus.scope and "scope" in queries.columns
+    if wants_scope and corpus.scope not in scoped.columns:
         scoped = scoped.join(corpus.chunks.select("chunk_id", corpus.scope), "chunk_id")
-    v = vector_index.search(scoped, queries.where(F.col("embedding").isNotNull()), 2 * k, scope=corpus.scope, digits=digits)
+    v = vector_index.search(scoped, queries.where(F.col("embedding").isNotNull()), 2 * k, scope=corpus.scope if wants_scope else None, digits=digits)
     t = fulltext.search(corpus.text, queries, 2 * k, digits=digits)
     fused = hybrid.fuse(v, t, k, digits)
     stored = corpus.chunks.join(corpus.vectors.select("chunk_id", "embedding"), "chunk_id").withColumnRenamed("chunk_id", "doc_id")
