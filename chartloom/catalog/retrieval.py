@@ -247,7 +247,10 @@ def mmr_select(spark, d):
 
 
 def corpus(spark, d):
-    return retrieval.Corpus(chunks(spark, d), vectors(spark, d).select("chunk_id", "embedding"), index(spark, d))
+    """The index is kept for the searches of one query; a standing one is written by ``retrieval.reindex``."""
+    built = index(spark, d)
+    kept = fulltext.TextIndex(*[x.persist() for x in (built.postings, built.lengths, built.frequencies, built.stats)])
+    return retrieval.Corpus(chunks(spark, d), vectors(spark, d).select("chunk_id", "embedding"), kept)
 
 
 @query("hybrid_search")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +26,7 @@ class Corpus:
     scope: str | None = "patient_id"
 
 
-def search(corpus: Corpus, queries: DataFrame, k: int = SETTINGS.top_k, boosts: bool = True, digits: int | None = None) -> DataFrame:
+def search(corpus: Corpus, queries: DataFrame, k: int = SETTINGS.top_k, boosts: bool = True, digits: int | None = None, use_vectors: bool = True) -> DataFrame:
     """The k best chunks of each query with scores and both ranks (RET-01..06, JON-04, JON-05).
 
     Both lists are fetched at 2 k.  Hits whose chunk has no vector entry are
@@ -35,8 +36,10 @@ def search(corpus: Corpus, queries: DataFrame, k: int = SETTINGS.top_k, boosts:
     wants_scope = corpus.scope and "scope" in queries.columns
     if wants_scope and corpus.scope not in scoped.columns:
         scoped = scoped.join(corpus.chunks.select("chunk_id", corpus.scope), "chunk_id")
-    v = vector_index.search(scoped, queries.where(F.col("embedding").isNotNull()), 2 * k, scope=corpus.scope if wants_scope else None, digits=digits)
     t = fulltext.search(corpus.text, queries, 2 * k, digits=digits)
+    v = t.where("false")  # queries without a vector
+    if use_vectors:
+        v = vector_index.search(scoped, queries.where(F.col("embedding").isNotNull()), 2 * k, scope=corpus.scope if wants_scope else None, digits=digits)
     fused = hybrid.fuse(v, t, k, digits)
     stored = corpus.chunks.join(corpus.vectors.select("chunk_id", "embedding"), "chunk_id").withColumnRenamed("chunk_id", "doc_id")
     hits = fused.drop("rank").join(stored, "doc_id")
@@ -76,33 +79,41 @@ def follow_ups(hits: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame
     return found.distinct().withColumn("__n", rank).where(F.col("__n") <= limit).drop("__n")
 
 
-def deep_think(corpus: Corpus, queries: DataFrame, as_of: str, passes: int = SETTINGS.passes, checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
+def deep_think(corpus: Corpus, queries: DataFrame, as_of: str, passes: int = SETTINGS.passes) -> tuple[DataFrame, DataFrame]:
     """(used hits, contexts) of bounded multi-pass retrieval (RET-16).
 
     Each pass searches with the follow-ups of all that was found; an empty list
-    makes later passes no-ops.  ``checkpoint`` cuts lineage between passes, in
-    the session's checkpoint folder.
+    makes later passes no-ops.  Lineage is cut between passes by checkpoints in
+    the session's checkpoint folder: a few rows a query.
     """
+    ensure_checkpoint_dir(queries.sparkSession)
     base = queries.select("query_id", "text", "embedding", *[c for c in ("scope",) if c in queries.columns])
     current, everything = base, None
     for number in range(passes):
         # A pass's queries keep the original id; they differ in text, so each gets a part number.
         numbered = current.withColumn("__part", F.row_number().over(Window.partitionBy("query_id").orderBy("text")))
         keyed = numbered.withColumn("__key", F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("__part").cast("string")))
-        hits = search(corpus, keyed.drop("query_id").withColumnRenamed("__key", "query_id"), SETTINGS.multi_pass_top_k)
+        hits = search(corpus, keyed.drop("query_id").withColumnRenamed("__key", "query_id"), SETTINGS.multi_pass_top_k, use_vectors=number == 0)
         hits = hits.withColumnRenamed("query_id", "__key").join(keyed.select("__key", "query_id", "__part"), "__key").drop("__key").withColumn("__pass", F.lit(number))
         everything = hits if everything is None else everything.unionByName(hits)
-        # A few rows a query; kept so that later passes do not search again.
-        everything = everything.checkpoint() if checkpoint else everything.persist()
+        everything = everything.checkpoint()
         if number + 1 < passes:
             extra = follow_ups(everything, base)
-            current = extra.join(base.drop("text"), "query_id").withColumn("embedding", F.lit(None).cast(base.schema["embedding"].dataType)).select(base.columns).persist()
+            current = extra.join(base.drop("text"), "query_id").withColumn("embedding", F.lit(None).cast(base.schema["embedding"].dataType)).select(base.columns).checkpoint()
+            if current.isEmpty():
+                break
     first = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("__pass", "__part", "rank"))
     unique = everything.withColumn("__n", first).where("__n = 1").drop("__n", "__pass", "__part")
     used = postprocess.process(unique, base, as_of, SETTINGS.multi_pass_max_chunks)
     return used, postprocess.assemble(used, base)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The cluster's own checkpoint folder; a temporary one only where none is set (tests)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartloom-"))
+
+
 def summaries(hits: DataFrame) -> DataFrame:
     """What a reader sees of each source: 150 characters of it."""
     keep = [c for c in ("query_id", "doc_id", "patient_name", "section_title", "clinical_category", "score", "vector_rank", "keyword_rank", "date_recorded") if c in hits.columns]
