@@ -201,6 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
         view = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         least = view.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        least = store.materialize(least, "least")  # a plain table beside the edges: the join can split a hub's rows
         joined = view.join(least, F.col("a") == F.col("k"))
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
