@@ -276,3 +276,34 @@ def first_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_column: str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(store.documents(spark, sf_dir, "doc_id", "text"))
+
+
+#: Every pair of texts that share a shingle, compared exactly; components by reachability.
+ORACLE_SQL = f"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents
+), class AS MATERIALIZED (
+  SELECT text, min(doc_id) AS rep, count(*) AS copies, any_value(w) AS w FROM words WHERE len(w) > 0 GROUP BY text
+), shingle AS MATERIALIZED (
+  SELECT rep, unnest(CASE WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END) AS s
+  FROM class
+), size AS (
+  SELECT rep, count(*) AS n FROM shingle GROUP BY rep
+), meet AS (
+  SELECT x.rep AS a, y.rep AS b, count(*) AS shared FROM shingle x JOIN shingle y ON x.s = y.s AND x.rep <> y.rep GROUP BY x.rep, y.rep
+), edge AS MATERIALIZED (
+  SELECT a, b FROM meet JOIN size p ON p.rep = a JOIN size q ON q.rep = b WHERE shared >= {THRESHOLD}::DOUBLE * (p.n + q.n - shared) - 1e-9
+), reach AS (
+  SELECT rep AS id, rep AS root FROM class
+  UNION
+  SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.id AND edge.b > reach.root
+), root AS (
+  SELECT id, min(root) AS root FROM reach GROUP BY id
+), link AS (
+  SELECT a, sum(copies) AS links FROM edge JOIN class ON class.rep = b GROUP BY a
+)
+SELECT doc_id, coalesce(class.rep, doc_id) AS copy_of, coalesce(root.root, doc_id) AS class_id,
+  CAST(coalesce(copies - 1, 0) + coalesce(links, 0) AS BIGINT) AS n_links
+FROM words LEFT JOIN class ON class.text = words.text LEFT JOIN root ON root.id = class.rep LEFT JOIN link ON link.a = class.rep
+"""

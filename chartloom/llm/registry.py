@@ -17,4 +17,7 @@ QUERIES = {
     "op10_language_id": language.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": sharding.ORACLE_SQL,
+    "op5_ngram_jaccard_join": near_duplicates.ORACLE_SQL,
+}

@@ -21,6 +21,7 @@ from chartloom.llm import store
 N_SHARDS = 40
 SEED = 17
 BUCKET_ROWS = 20_000
+KEY_BITS = 60
 
 
 def _buckets(spark: SparkSession, rows: int) -> int:
@@ -28,6 +29,11 @@ def _buckets(spark: SparkSession, rows: int) -> int:
     return 1 << (least - 1).bit_length()
 
 
+def shuffle_key(key, seed: int):
+    """The first KEY_BITS bits of the MD5 of ``seed:key``: an order that any SQL engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint")
+
+
 def assign(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, stratum: str = "source", key: str = "doc_id") -> DataFrame:
     """Adds ``shard`` (0..n_shards-1) and ``slot`` (gapless from 0) to ``rows``.
 
@@ -38,14 +44,12 @@ def assign(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, stratum:
     """
     spark = rows.sparkSession
     table = store.materialize(
-        rows.select(F.struct("*").alias("__row"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("__s"), F.xxhash64(F.col(key), F.lit(seed)).alias("__h")), "to-shard"
+        rows.select(F.struct("*").alias("__row"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("__s"), shuffle_key(F.col(key), seed).alias("__h")), "to-shard"
     )
     total = table.count()
     n = _buckets(spark, total)
     bits = n.bit_length() - 1
-    table = table.withColumn("__b", F.shiftrightunsigned("__h", 64 - bits).cast("int") if bits else F.lit(0))
-
-    # Unsigned bucket order is not the signed order of the hash, but any fixed order of buckets will do.
+    table = table.withColumn("__b", F.shiftright("__h", KEY_BITS - bits).cast("int"))
     sizes = table.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n"))
     by_stratum = Window.partitionBy("__s")
     before = sizes.select("__s", "__b", (F.sum("__n").over(by_stratum.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(by_stratum).alias("__of"))
@@ -75,3 +79,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
     return assign(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same ranks by plain windows; CRC-32 byte by byte with the table of its polynomial.
+ORACLE_SQL = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), hashed AS (
+  SELECT doc_id, source, encode(coalesce(text, '')) AS raw, substr(md5('{SEED}:' || doc_id), 1, {KEY_BITS // 4}) AS h FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h) AS place, count(*) OVER (PARTITION BY source) AS n FROM hashed
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY (place - 0.5::DOUBLE) / n::DOUBLE, h) - 1 AS pos, count(*) OVER () AS total FROM ranked
+), cut AS (
+  SELECT *, CAST(pos * {N_SHARDS} // total AS INTEGER) AS shard FROM ordered
+)
+SELECT doc_id, CAST(octet_length(raw) + 16 AS BIGINT) AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(raw), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::BIGINT) AS text_crc32,
+  'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut, crc
+"""
