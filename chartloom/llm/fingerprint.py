@@ -2,8 +2,9 @@
 
 A text's five-word shingles are hashed once.  The top bits of a hash choose one
 of 128 bins and each bin keeps its least hash.  An empty bin copies from a
-filled one: every bin has its own pseudo-random order of all bins and takes the
-first filled one in it (optimal densification).  The fingerprint is the low
+filled one: every bin probes its own pseudo-random sequence of bins and takes
+the first filled one (optimal densification).  After PROBES misses it takes the
+filled bin that comes first in its own pseudo-random order of all bins.  The fingerprint is the low
 eight bits of every bin's value.  Two equal low parts may come from different
 values, so the share of equal bins is corrected for chance.
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from chartloom.llm import store
 
 BINS, BITS, WORDS = 128, 8, 5
+PROBES = 16
 _SHIFT = 64 - (BINS.bit_length() - 1)
 
 
@@ -29,7 +31,7 @@ def _let(value, body):
 
 def shingle_hashes(text):
     """Sorted 64-bit hashes of the five-word shingles."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(text, r"\s+"), "")
 
     def shingles(h):
         five = F.transform(F.sequence(F.lit(0), F.size(h) - WORDS), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)]))
@@ -48,15 +50,21 @@ def codes(text):
     def low(x):
         return x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("smallint")
 
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint"))
+
     def densify(least):
-        def one(filled):
+        def own(filled):
+            return F.transform(every, lambda b: F.get(least, F.array_position(filled, b).cast("int") - 1))
+
+        def borrow(values):
             def code(b):
-                borrowed = F.array_min(F.transform(least, lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("o"), low(x).alias("c"))))["c"]
-                return _let(F.array_position(filled, b), lambda at: F.when(at > 0, low(F.get(least, (at - 1).cast("int")))).otherwise(borrowed))
+                probes = [F.get(values, F.pmod(F.xxhash64(b, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(PROBES)]
+                last = F.array_min(F.transform(least, lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("o"), x.alias("x"))))["x"]
+                return low(F.coalesce(F.get(values, b.cast("int")), *probes, last))
 
-            return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint")), code)
+            return F.transform(every, code)
 
-        return _let(F.transform(least, _bin), one)
+        return _let(_let(F.transform(least, _bin), own), borrow)
 
     def firsts(h):
         return F.filter(h, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(h, F.greatest(i - 1, F.lit(0))))))
