@@ -89,9 +89,11 @@ def fingerprint(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return docs.withColumn("fingerprint_codes", codes(store.text_of(text_column)))
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", derived: dict | None = None) -> DataFrame:
     """Adds ``next_<column>``: the value in the next document by descending key; the last's next is the first.
 
+    ``derived`` columns are made from ``columns`` once a document, and have a next as well.
+
     Documents are dealt into many ranges of keys.  Each range gets a guest, a
     copy of the first document of the range after it, so that every document
     finds its next in its own range: no global sort and one exchange.  Equal
@@ -122,15 +124,16 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     links = spark.createDataFrame(guests_of, "__to bigint, __from bigint")
     guests = firsts.join(F.broadcast(links), firsts["__b"] == links["__from"]).select(F.col("__to").alias("__b"), F.lit(1).alias("__guest"), F.lit(0).cast("bigint").alias("__tie"), "__first.*")
     rows = table.select("*", F.lit(0).alias("__guest"), F.xxhash64(*keep).alias("__tie"))
-    everyone = rows.unionByName(guests, allowMissingColumns=True)
+    # Derived on either side of the union: the search for the first documents reads no derived column.
+    everyone = rows.withColumns(derived or {}).unionByName(guests.withColumns(derived or {}), allowMissingColumns=True)
     w = Window.partitionBy("__b").orderBy(*order)
-    out = everyone.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    out = everyone.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (*columns, *(derived or ()))])
     return out.where("__guest = 0").drop("__b", "__guest", "__tie")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.documents(spark, sf_dir, "doc_id", "text").withColumn("text", store.text_of())
-    linked = with_next(fingerprint(docs), ["text", "fingerprint_codes"])
+    linked = with_next(docs, ["text"], derived={"fingerprint_codes": codes(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
