@@ -1,7 +1,9 @@
 """Indexes, hybrid search and what follows it, over documents, embeddings and benchmark.
 
 A document is a chunk (source = patient, lang = category); a benchmark item is
-a query of its first 60 characters with the vector of the same number.
+a query of its text with the vector of the same number.  The SQL given for a
+query asks the first 60 characters of the items below N_QUERIES, and the query
+does the same; queries without SQL ask the whole text of every item.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("src"), F.col("label").cast("string")).alias("scope"))
 
 
-def queries(spark, d, scoped: bool = False):
-    b = table(spark, d, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("text"))
+def queries(spark, d, scoped: bool = False, whole: bool = False):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    if not whole:
+        b = b.where(F.col("query_id") < N_QUERIES).withColumn("text", F.left("text", F.lit(60)))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     out = b.join(v, "query_id", "left")
     return out.withColumn("scope", F.concat(F.lit("src"), (F.col("query_id") % 10).cast("string"))) if scoped else out
@@ -102,7 +106,7 @@ def bm25_scoped(spark, d):
 @query("bm25_stemmed")
 def bm25_stemmed(spark, d):
     """Stemmed, accent-free, over all four fields."""
-    return _ranked(fulltext.search(index(spark, d, dict(retrieval.SETTINGS.field_weights), True), queries(spark, d), 10, 6))
+    return _ranked(fulltext.search(index(spark, d, dict(retrieval.SETTINGS.field_weights), True), queries(spark, d, whole=True), 10, 6))
 
 
 @query("vector_topk", f"WITH {_knn(False, 10)} {_RANKED} kn")
@@ -149,8 +153,8 @@ def rrf_fusion(spark, d):
 _HITS = f"WITH {_bm25(False, 10)}, hits AS (SELECT query_id, doc_id, -score AS score, text AS content, rank FROM bm JOIN documents USING (doc_id)), q AS (SELECT item_id AS query_id, left(text, 60) AS text FROM benchmark WHERE item_id < {N_QUERIES})"
 
 
-def _hits(spark, d):
-    h = fulltext.search(index(spark, d), queries(spark, d), 10, 6)
+def _hits(spark, d, whole: bool = False):
+    h = fulltext.search(index(spark, d), queries(spark, d, whole=whole), 10, 6)
     return h.join(chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), "doc_id").withColumn("score", -F.col("score"))
 
 
@@ -237,12 +241,12 @@ def assembled_context(spark, d):
 
 @query("dedup_jaccard")
 def dedup_jaccard(spark, d):
-    return postprocess.deduplicate(_hits(spark, d).select("query_id", "doc_id", "content", "rank")).select("query_id", "doc_id", "rank")
+    return postprocess.deduplicate(_hits(spark, d, whole=True).select("query_id", "doc_id", "content", "rank")).select("query_id", "doc_id", "rank")
 
 
 @query("mmr_select")
 def mmr_select(spark, d):
-    h = _hits(spark, d).select("query_id", "doc_id", "score", "rank").join(vectors(spark, d).select(F.col("chunk_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    h = _hits(spark, d, whole=True).select("query_id", "doc_id", "score", "rank").join(vectors(spark, d).select(F.col("chunk_id").alias("doc_id"), "embedding"), "doc_id", "left")
     return postprocess.diversify(h, 5).select("query_id", "doc_id", "rank")
 
 
@@ -255,7 +259,7 @@ def corpus(spark, d):
 
 @query("hybrid_search")
 def hybrid_search(spark, d):
-    return _ranked(retrieval.search(corpus(spark, d), queries(spark, d), 10, digits=6)).withColumn("score", F.round("score", 6))
+    return _ranked(retrieval.search(corpus(spark, d), queries(spark, d, whole=True), 10, digits=6)).withColumn("score", F.round("score", 6))
 
 
 @query("hybrid_plain", f"WITH {_bm25(False, 20)}, {_knn(False, 20)}, {_rrf(10)} SELECT query_id, doc_id, score, n AS rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM rrf WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id IN (SELECT vec_id FROM embeddings)) WHERE n <= 10")
@@ -266,12 +270,12 @@ def hybrid_plain(spark, d):
 
 @query("single_pass_query")
 def single_pass_query(spark, d):
-    return retrieval.ask(corpus(spark, d), queries(spark, d), AS_OF)[1]
+    return retrieval.ask(corpus(spark, d), queries(spark, d, whole=True), AS_OF)[1]
 
 
 @query("verified_query")
 def verified_query(spark, d):
-    return retrieval.ask_verified(corpus(spark, d), queries(spark, d), AS_OF)[2]
+    return retrieval.ask_verified(corpus(spark, d), queries(spark, d, whole=True), AS_OF)[2]
 
 
 @query("follow_up_queries", f"{_HITS}, f AS (SELECT DISTINCT query_id, term FROM hits JOIN q USING (query_id), (SELECT unnest([{', '.join(quoted(t) for t in retrieval.FOLLOW_UP_TERMS)}]) AS term) WHERE contains(lower(content), term) AND NOT contains(lower(q.text), term)) SELECT query_id, term AS text FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY term) <= 3")
@@ -281,7 +285,7 @@ def follow_up_queries(spark, d):
 
 @query("deep_think")
 def deep_think(spark, d):
-    return retrieval.deep_think(corpus(spark, d), queries(spark, d), AS_OF)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+    return retrieval.deep_think(corpus(spark, d), queries(spark, d, whole=True), AS_OF)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
 
 
 @query("source_summaries", f"{_HITS} SELECT query_id, doc_id, left(content, 150) AS preview FROM hits")
