@@ -206,6 +206,19 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_in_blocks(spark, docs, rows):
+    """Several passes find what one does, in any order of the items."""
+    r = np.random.default_rng(4)
+    items = [rows[7 + i]["text"][:150] for i in range(6)] + ["".join(r.choice(list("abcdefgh "), 120)) for _ in range(6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert sum(1 for b in decontaminate.blocks(bench, block_bytes=400) if b) >= 3
+    one = decontaminate.scan(docs, bench)
+    several = decontaminate.scan(docs, bench, block_bytes=400)
+    assert several.columns == one.columns
+    got = sorted(map(repr, several.collect()))
+    assert got == sorted(map(repr, one.collect())) and sum("edits=" in x for x in got) >= 6
+
+
 def _edit_distance_somewhere(pattern: bytes, text: bytes) -> int:
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
