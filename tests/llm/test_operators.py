@@ -252,6 +252,37 @@ def test_decontamination_against_full_alignment():
             assert min(found[4]) == best
 
 
+def test_decontamination_at_every_offset():
+    """A passage of WINDOW bytes is found wherever it lies in an item, verbatim or edited, and nothing much shorter is."""
+    import pyarrow as pa
+
+    from chartloom.llm.words import slices
+
+    r = np.random.default_rng(12)
+    letters = np.frombuffer(b"abcdefghijklmnop qrst", np.uint8)
+    items = [(5, r.choice(letters, 300).tobytes().decode()), (6, r.choice(letters, 150).tobytes().decode()), (7, "too short")]
+    index = decontaminate.Index(items)
+    texts, want = [], []
+    for item_id, item in items[:2]:
+        for o in range(len(item) - 95):
+            for n_edits in (0, 9, 20):
+                raw = bytearray(item[o : o + 96].encode())
+                for p in r.choice(96, n_edits, replace=False):
+                    raw[p] = 122
+                before, after = ((0, 0), (150, 0), (0, 70), (90, 40))[o % 4]
+                text = r.choice(letters, before).tobytes() + bytes(raw) + r.choice(letters, after).tobytes()
+                texts.append(text.decode())
+                want.append({item_id} if n_edits <= 9 else set())
+            texts.append(item[o : o + 60])
+            want.append(set())
+    got = [set() for _ in texts]
+    for first, data, offsets in slices(pa.array(texts)):
+        folded = decontaminate._FOLD[data]
+        for row, item_id in zip(*[x.tolist() for x in index.verify(folded, offsets, *index.candidates(folded, offsets))[:2]]):
+            got[first + row].add(item_id)
+    assert got == want
+
+
 def test_fingerprints(docs, rows, empty):
     linked = fingerprint.with_next(fingerprint.fingerprint(docs), ["text", "fingerprint_codes"])
     out = linked.select("doc_id", "text", "next_text", "fingerprint_codes", "next_fingerprint_codes", fingerprint.likeness(F.col("fingerprint_codes"), F.col("next_fingerprint_codes")).alias("near")).collect()
