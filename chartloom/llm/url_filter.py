@@ -19,9 +19,6 @@ from chartloom.llm import store
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
-#: A mined rule has at most this many tokens, and this many rules are kept, most confident first.
-MAX_TOKENS = 3
-MAX_RULES = 20_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,7 +64,11 @@ class Rule:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Rule]:
-    """Rules from (url, block) rows.  Rows with a null url or label are ignored; no rows, no rules."""
+    """Rules from (url, block) rows, most confident first.  Rows with a null url or label are ignored; no rows, no rules.
+
+    Every rule over support and confidence counts.  One that holds all tokens of
+    an earlier rule can never decide and is left out as it is read.
+    """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
@@ -80,14 +81,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     if baskets.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=4 * store.width(spark)).fit(baskets)
-    wanted = F.col("consequent")[0].isin("=block", "=allow") & (F.size("antecedent") <= MAX_TOKENS)
+    wanted = F.col("consequent")[0].isin("=block", "=allow") & (F.size("antecedent") > 0)
     found = model.associationRules.where(wanted).select(F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("label"), "confidence", "support")
-    best = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), F.array_join("tokens", " ")).limit(MAX_RULES)
+    ranked = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), F.array_join("tokens", " "))
     kept: list[Rule] = []
-    for r in best.collect():
-        rule = Rule(frozenset(r["tokens"]), r["label"] == "=block", r["confidence"], r["support"])
-        if rule.tokens:
-            kept.append(rule)
+    by_least: dict[str, list[frozenset]] = {}
+    for r in ranked.toLocalIterator():
+        tokens = frozenset(r["tokens"])
+        if not any(t <= tokens for x in tokens for t in by_least.get(x, ())):
+            by_least.setdefault(min(tokens), []).append(tokens)
+            kept.append(Rule(tokens, r["label"] == "=block", r["confidence"], r["support"]))
     return kept
 
 
@@ -123,7 +126,7 @@ def judge(pages: DataFrame, rules: list[Rule], url_column: str = "url") -> DataF
     Null urls and those without "://" have empty host and path, and are allowed;
     so is a url that no fixed or mined rule covers.
     """
-    index = pages.sparkSession.sparkContext.broadcast(RuleIndex(rules))  # at most MAX_RULES rules
+    index = pages.sparkSession.sparkContext.broadcast(RuleIndex(rules))  # their number follows the support, a share of the labels, not the input
 
     @F.pandas_udf("boolean")
     def mined(tokens: pd.Series) -> pd.Series:

@@ -347,6 +347,16 @@ def test_url_filter(spark):
     assert url_filter.mine(labelled.limit(0)) == []
 
 
+def test_url_rules_of_many_tokens(spark):
+    """Only four tokens together decide; every smaller combination is below the confidence."""
+    urls = [(f"http://h/{'/'.join(w for k, w in enumerate('abcd') if mask >> k & 1)}", mask == 15) for mask in range(16) for _ in range(10)]
+    rules = url_filter.mine(spark.createDataFrame(urls, "url string, block boolean"), 0.01, 0.9)
+    block = [r for r in rules if r.block]
+    assert [r.tokens for r in block] == [{"p:a", "p:b", "p:c", "p:d"}]
+    assert url_filter.RuleIndex(rules).judge(["h:h", "p:a", "p:b", "p:c", "p:d"]) is True
+    assert not any(a.tokens < b.tokens and i < j for i, a in enumerate(rules) for j, b in enumerate(rules))
+
+
 def test_pipeline(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
