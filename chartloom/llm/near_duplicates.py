@@ -1,13 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding with exact verification.
 
 Documents are compared by their sets of five-word shingles; a link is a pair of
 documents with Jaccard similarity of at least THRESHOLD.
 
 1. Equal texts form a class; only its first document (least id) goes on.
-2. Every tree of the forest is a prefix trie of MinHash signatures.  The matched
-   prefix starts at DEPTH values and is shortened, one value at a time, until
-   pairs at the threshold share a prefix in some tree with probability RECALL.
-   Documents below one trie node of that depth are candidates.
+2. Every tree is a band of MinHash values.  The matched prefix is the longest, of
+   DEPTH values at most, with which pairs at the threshold share a prefix in some
+   tree with probability RECALL: by these constants 2 values, whatever the data.
+   Documents with one prefix (a node) are candidates.
 3. Nodes with the same members in several trees are kept once.  A node's members
    are dealt into blocks of bounded size and every two blocks meet in one task,
    which compares shingle sets exactly, counts each document's links and joins
