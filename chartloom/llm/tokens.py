@@ -3,10 +3,12 @@
 Each supported tokenizer never lets a token cross the gap before a space that
 is followed by a non-space.  Texts are cut there, chunks are looked up by hash,
 and only chunks not met before go to the tokenizer library, many at a time.
-The result equals the library's on whole texts; the tests compare the two.
+A chunk counts as met when its bytes equal those kept with the hash, so the
+result is the library's on whole texts; the tests compare the two.
 
 The cache lives in the Python worker (workers are reused between tasks) and is
-emptied once full, so memory stays bounded at any corpus size.
+emptied once it holds too many chunks or bytes, so memory stays bounded at any
+corpus size.
 """
 
 from __future__ import annotations
@@ -47,6 +49,10 @@ def vocabulary_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+#: A worker keeps at most this many bytes of chunks (or one slice's, where that is more).
+CACHE_BYTES = 64 << 20
+
+
 class _Chunked:
     def __init__(self, bits: int = 22) -> None:
         self.index = HashIndex(bits)
@@ -54,6 +60,8 @@ class _Chunked:
 
     def _reset(self) -> None:
         self.index.clear()
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        self.from_ = np.zeros(self.index.capacity + 1, np.int64)  # where each chunk begins in bytes
 
     def _chunks(self, data, offsets):
         """Start, end and row of the chunks."""
@@ -63,20 +71,55 @@ class _Chunked:
         """Encode new chunks and append their results, in this order."""
         raise NotImplementedError
 
+    def _keep(self, data, starts, ends) -> None:
+        """Encode the chunks data[start:end] and append them and their results as the next entries."""
+        raw = data.tobytes()
+        pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+        self._store([p.decode() for p in pieces])
+        n = self.index.n
+        stop = self.from_[n] + np.cumsum(ends - starts)
+        self.from_[n + 1 : n + 1 + len(pieces)] = stop
+        if stop[-1] > len(self.bytes):
+            self.bytes = np.resize(self.bytes, int(stop[-1]) * 2)
+        self.bytes[self.from_[n] : stop[-1]] = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def _differ(self, data, starts, ends, at) -> np.ndarray:
+        """Which chunks' bytes are not those of the entries found for them."""
+        size, kept = ends - starts, self.from_[at + 1] - self.from_[at]
+        wrong = size != kept
+        same = np.flatnonzero(~wrong)
+        size = size[same]
+        unlike = data[spread(starts[same], size)] != self.bytes[spread(self.from_[at[same]], size)]
+        if unlike.any():
+            wrong[same[np.repeat(np.arange(len(same)), size)[unlike]]] = True
+        return np.flatnonzero(wrong)
+
     def _entries(self, data, starts, ends) -> np.ndarray:
         h = run_hashes(data, starts, ends)
         at = self.index.find(h)
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-            if self.index.n + len(fresh) > self.index.capacity:
-                while len(fresh) * 2 > self.index.capacity:  # one huge text; a larger table for it
-                    self.index = HashIndex(self.index.bits + 1)
+            first = new[first]
+            full = self.index.n + len(fresh) + len(h) // 8 > self.index.capacity  # with room for chunks that share a hash
+            if self.index.n and (full or self.from_[self.index.n] + len(data) > CACHE_BYTES):
                 self._reset()
                 return self._entries(data, starts, ends)
-            raw = data.tobytes()
-            self._store([raw[s:e].decode() for s, e in zip(starts[new[first]].tolist(), ends[new[first]].tolist())])
+            if full:
+                while len(fresh) * 2 + len(h) // 8 > self.index.capacity:  # one huge text; a larger table for it
+                    self.index = HashIndex(self.index.bits + 1)
+                self._reset()
+            self._keep(data, starts[first], ends[first])
             at[new] = self.index.add(fresh)[back]
+        wrong = self._differ(data, starts, ends, at)
+        if len(wrong):  # other bytes with the same hash: entries of their own, which no hash leads to
+            if self.index.n + len(wrong) > self.index.capacity:
+                self.index = HashIndex(self.index.bits + 1)
+                self._reset()
+                return self._entries(data, starts, ends)
+            self._keep(data, starts[wrong], ends[wrong])
+            at[wrong] = np.arange(self.index.n, self.index.n + len(wrong))
+            self.index.n += len(wrong)
         return at
 
 

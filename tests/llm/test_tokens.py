@@ -31,6 +31,16 @@ def test_counts_equal_the_library():
     assert p.counts(pa.array(texts, pa.string())).tolist() == [len(x) for x in p.model.encode([x or "" for x in texts])]
 
 
+def test_chunks_that_share_a_hash_stay_apart(monkeypatch):
+    whole = T.run_hashes
+    monkeypatch.setattr(T, "run_hashes", lambda *a: whole(*a) & np.uint64(0xFF00000000000000) | np.uint64(1))
+    texts = fuzz(600)
+    t = T.HFTokenizer(T.vocabulary_path("byte_bpe_50k.json"), "space", bits=12)
+    assert [x.tolist() for x in t.ids(pa.array(texts, pa.string()))] == [e.ids for e in t.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    p = T.PieceCounter(T.vocabulary_path("piece_bpe_32k.model"), bits=12)
+    assert p.counts(pa.array(texts, pa.string())).tolist() == [len(x) for x in p.model.encode([x or "" for x in texts])]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=1200), st.integers(0, 5))
 @settings(max_examples=40, deadline=None)
 def test_token_file_round_trip(ids, cuts):
