@@ -283,6 +283,64 @@ def test_decontamination_at_every_offset():
     assert got == want
 
 
+def _search(items, texts):
+    import pyarrow as pa
+
+    from chartloom.llm.words import slices
+
+    index, got = decontaminate.Index(items), [set() for _ in texts]
+    for first, data, offsets in slices(pa.array(texts, pa.string())):
+        for row, item_id, *_ in index.search(decontaminate._FOLD[data], offsets).T.tolist():
+            got[first + row].add(item_id)
+    return got
+
+
+def test_decontamination_of_recurring_grams(monkeypatch):
+    """Dashes in items and texts: bounded work, and the decisions of full alignment."""
+    import tracemalloc
+
+    items = [(i, "-" * 3000) for i in range(3)] + [(4, "-" * 50 + " a row of words between two rules " + "-" * 60)]
+    tracemalloc.start()
+    assert _search(items, ["-" * 1_000_000, "=-" * 400_000]) == [{0, 1, 2}, set()]
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    monkeypatch.setattr(decontaminate, "MAX_HITS", 500)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "STRETCH", 700)
+    r = np.random.default_rng(21)
+    letters = np.frombuffer(b"--------ab ", np.uint8)
+    items = [(i, r.choice(letters, 130).tobytes().decode()) for i in range(6)]
+    texts = []
+    for n_edits in (0, 6, 9, 12, 30):
+        raw = bytearray(items[n_edits % 6][1].encode()[10:106])
+        for p in r.integers(0, 96, n_edits):
+            raw[p] = 122
+        texts.append((r.choice(letters, 500).tobytes() + bytes(raw) + r.choice(letters, 900).tobytes()).decode())
+    want = []
+    for t in texts:
+        best = {i: min(_edit_distance_somewhere(x.encode()[o : o + 96], t.encode()) for o in range(len(x) - 95)) for i, x in items}
+        want.append({i for i, d in best.items() if d <= 9})
+    assert _search(items, texts) == want and any(want) and not all(want)
+
+
+def test_short_items_count_verbatim():
+    items = [(1, "yes"), (2, "forty two"), (3, ""), (4, "a"), (5, "x!"), (6, "1234567890123456789012"), (7, "yes")]
+    texts = ["Yes.", "yesterday", "forty  two or Forty two", "A", "b", "x!y a", "", None, "n1234567890123456789012", "1234567890123456789012"]
+    assert _search(items, texts) == [{1, 7}, set(), {2}, {4}, set(), {4, 5}, set(), set(), set(), {6}]
+
+
+def test_long_items_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT_CHARS", 200)
+    r = np.random.default_rng(6)
+    item = "".join(r.choice(list("abcdefgh ijkléü"), 1000))
+    bench = spark.createDataFrame([(1, item), (2, "x" * 200)], "item_id bigint, text string")
+    parts = [p for b in decontaminate.blocks(bench) for p in b]
+    assert max(len(t) for _, t in parts) <= 296
+    docs = spark.createDataFrame([(o, item[o : o + 96], "clash") for o in range(0, 905, 13)], "doc_id bigint, text string, matches string")
+    out = decontaminate.scan(docs, bench)
+    assert out.columns == ["doc_id", "text", "matches"] and out.where("size(matches) = 0").count() == 0
+
+
 def test_fingerprints(docs, rows, empty):
     linked = fingerprint.with_next(fingerprint.fingerprint(docs), ["text", "fingerprint_codes"])
     out = linked.select("doc_id", "text", "next_text", "fingerprint_codes", "next_fingerprint_codes", fingerprint.likeness(F.col("fingerprint_codes"), F.col("next_fingerprint_codes")).alias("near")).collect()
@@ -325,11 +383,74 @@ def test_forward_sums_all_segmentations():
         return out + language.FLOOR * total(s[1:])
 
     words = [b"a", b"abba", b"bab", b"aaab"]
-    table, lengths = language.Lattice(vocabulary).edges(words)
-    got = language.forward(table, lengths, p)[np.arange(4), lengths, 0]
+    got = np.exp(language.Scorer(language.Model(["x"], vocabulary, p)).words(words)[:, 0])
     assert np.allclose(got, [total(b" " + w) for w in words], rtol=1e-6)
 
 
+def _log_total(word: bytes, at: dict, longest: int) -> float:
+    """The forward recursion, one position at a time, in logarithms."""
+    s, logs = b" " + word, [0.0]
+    for t in range(1, len(s) + 1):
+        terms = [logs[t - 1] + np.log(language.FLOOR)]
+        terms += [logs[t - n] + np.log(at[s[t - n : t]]) for n in range(1, min(t, longest) + 1) if s[t - n : t] in at]
+        logs.append(float(np.logaddexp.reduce(terms)))
+    return logs[-1]
+
+
+@pytest.mark.parametrize("size", [40, 203, 511, 512, 700, 5001])
+def test_words_of_any_length_are_scored_whole(size):
+    vocabulary = sorted([b" ", b" a", b"a", b"ab", b"b", b"ba", b"bab", b"abbab"])
+    p = np.array([[0.05 + 0.02 * i, 0.2 - 0.01 * i] for i in range(len(vocabulary))])
+    word = np.random.default_rng(size).choice(np.frombuffer(b"aabbc", np.uint8), size).tobytes()
+    scorer = language.Scorer(language.Model(["x", "y"], vocabulary, p))
+    want = [_log_total(word, dict(zip(vocabulary, p[:, k])), 5) for k in range(2)]
+    assert np.allclose(scorer.words([word])[0], want, rtol=1e-9)
+    assert np.allclose(scorer.long_word(word), want, rtol=1e-9)
+    assert not np.allclose(scorer.words([word[:-1] + b"a"]), scorer.words([word[:-1] + b"b"]), rtol=1e-12)
+
+
+def test_expectation_against_enumeration():
+    vocabulary = sorted([b" ", b" a", b"a", b"ab", b"b", b"ba"])
+    p = np.array([[0.1 + 0.05 * i, 0.3 - 0.03 * i] for i in range(len(vocabulary))])
+
+    def ways(s, k):
+        if not s:
+            return [(1.0, {})]
+        out = [(language.FLOOR * q, c) for q, c in ways(s[1:], k)]
+        for i, v in enumerate(vocabulary):
+            if s.startswith(v):
+                out += [(p[i, k] * q, c | {i: c.get(i, 0) + 1}) for q, c in ways(s[len(v) :], k)]
+        return out
+
+    words, lang, counts = [b"abba", b"bab", b"a"], np.array([0, 1, 0]), np.array([2.0, 3.0, 1.0])
+    want = np.zeros(p.shape)
+    for w, k, n in zip(words, lang, counts):
+        every = ways(b" " + w, k)
+        for q, c in every:
+            for i, m in c.items():
+                want[i, k] += n * m * q / sum(x for x, _ in every)
+    got = language.expected(language.Lattice(vocabulary), words, lang, counts, p)
+    assert np.allclose(got, want)
+
+
+def test_scripts_without_spaces(spark):
+    """One long word a text: each language is learned from such words and told apart by them; a rare one keeps its rows."""
+    bases = {"zh": "这是一个关于中国人民生活的故事他们每天工作很努力学习", "ja": "これは日本の人々の生活についての物語です毎日仕事をしています", "th": "นี่คือเรื่องราวเกี่ยวกับชีวิตของผู้คนในประเทศไทย"}
+    r, rows = np.random.default_rng(8), []
+    for k, (lang, base) in enumerate(bases.items()):
+        for i in range(40 if lang != "th" else 6):
+            at = r.integers(0, len(base), 4)
+            rows.append((100 * k + i, "".join(base[a:] for a in at), lang))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    held = {x[0] for x in rows if x[0] % 5 == 0}
+    model = language.train(df.where("doc_id % 5 != 0"), sample_docs=10)
+    assert model.languages == sorted(bases)
+    got = {x["doc_id"]: x for x in language.predict(df.where("doc_id % 5 = 0"), model).collect()}
+    assert set(got) == held and all(got[i]["lang_pred"] == lang for i, _, lang in rows if i in held)
+    clash = df.withColumn("score", F.lit("own")).withColumn("lang_pred", F.lit(1))
+    assert [c for c, _ in language.predict(clash, model).dtypes] == ["doc_id", "text", "lang", "lang_pred", "score"]
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?q=1", "https://net", "https://net/", "http://x.net/en/", "http://example.com/de/1", "http://sub.example.com/en/1", "http://a.org/fr/", "http://xorg/fr/", "http://org/fr/a#b", "ftp://q?://net/"]
     d = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
