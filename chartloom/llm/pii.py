@@ -1,18 +1,28 @@
 """Personal data: found by pattern, and by what the corpus shows to reveal it.
 
 Base spans are e-mail and IP addresses, card and phone numbers.  Every value is
-a protected entity.  A term near a mention (within 64 characters, no other
-mention of its kind between) may give the entity away even when the value is
-masked.  With document counts n over the corpus, the term t discloses
-
-    PMI(t, e) / IC(e),  PMI = log2(n(t,e) N / (n(t) n(e))),  IC = -log2(n(e) / N)
-
-of what is to know about e: 1 when t occurs with e only, 0 when independent.
-Terms beyond GENERALISE are replaced by their category, terms beyond REMOVE are
-removed, in the documents that hold the entity.  A pair counts once it is seen
-in MIN_TEXTS different texts.  Everything is DataFrame functions.
-
-Null texts count as empty and have no span.  Equal rows get equal results.
+a protected entity.  A term (a run of letters or digits) near a mention may give
+the entity away even when the value is masked.  With document counts n of N,
+
+    disclosure(t, e) = PMI(t, e) / IC(e),
+    PMI = log2(p(e | t) / p(e)),  IC = -log2 p(e),  p(e) = n(e) / N,
+    p(e | t) = (n(t, e) + SMOOTHING p(e)) / (n(t) + SMOOTHING):
+
+the share of what is to know about e that t tells, 1 when t occurs with e only
+and often, 0 when independent.  The smoothed estimate lets entities count that
+occur once, and discounts such evidence.  Candidates are the terms within
+CONTEXT characters of a mention; all counts are of whole documents.  Terms
+beyond GENERALISE are replaced by their category, terms beyond REMOVE removed,
+wherever they occur in a document that holds the entity.  Everything is
+DataFrame functions.
+
+As p(e | t) is at most n(e) / n(t), a term too frequent for its entity is ruled
+out before anything is joined, which keeps the joins about as large as the
+documents with mentions.
+
+Null texts count as empty and have no span.  Equal rows get equal results, null
+ids are ids like others, an empty table gives an empty result.  Terms need word
+boundaries: in scripts without spaces a term is a whole run of characters.
 """
 
 from __future__ import annotations
@@ -22,45 +32,54 @@ from pyspark.sql import functions as F
 
 from chartloom.llm import store
 
-GENERALISE, REMOVE, MIN_TEXTS = 0.8, 0.95, 3
+GENERALISE, REMOVE = 0.8, 0.95
+#: Weight of the prior in p(e | t), in documents.
+SMOOTHING = 1.0
+#: A pair of term and entity counts from so many documents with different texts.
+MIN_TEXTS = 1
 CONTEXT = 64
 _NAME = "A-Za-z0-9._%+-"
-#: The base patterns with the same matches in time linear in the text: a match starts
+#: The base patterns with the same valid matches in time linear in the text: a match starts
 #: where a run of its first class starts (or the last match ended), and runs are possessive.
+#: Card runs of other lengths than 13 to 19 digits are passed over as a whole.
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_NAME}]))[{_NAME}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
-SPAN = "array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>"
-_WORD = r"\p{L}{4,}+"
+SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+TERM = "array<struct<start:int,end:int,value:string,action:string>>"
+_WORD = r"[\p{L}\p{N}]++"
+#: Text is handled in blocks of this many characters where pieces of it are taken by position.
+_BLOCK = 256
 
 
 def _let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text, pattern: str, context: int = 0):
-    """Leftmost non-overlapping matches with code-point positions: array of (start, end, value, left, right)."""
+def running(values, step):
+    """``step`` folded over each prefix of an array (``step`` associative), by doubling: n log n and no copy per element."""
+
+    def double(acc, k):
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, step(F.get(acc, i - back), x)).otherwise(x))
 
-    def walk(s):
-        def step(acc, i):
-            value, before, after = F.get(s["m"], i), F.get(s["p"], i), F.get(s["p"], i + 1)
-            start = acc["pos"] + F.length(before)
-            end = start + F.length(value)
-            sides = [F.right(before, F.lit(context)), F.left(after, F.lit(context))] if context else [F.lit(""), F.lit("")]
-            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), sides[0].alias("left"), sides[1].alias("right"))
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+    rounds = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, values, double)
 
-        n = F.size(s["m"])
-        empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string,left:string,right:string>>")
-        each = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(each, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
 
-    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")), walk)
+def matches(text, pattern: str):
+    """Leftmost non-overlapping matches with code-point positions: array of (start, end, value)."""
+
+    def place(s):
+        lengths = F.transform(s["m"], lambda v, i: F.length(F.get(s["p"], i)) + F.length(v))
+        return _let(running(lengths, lambda a, b: a + b), lambda ends: F.transform(s["m"], lambda v, i: F.struct((F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value"))))
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")), place)
 
 
 def _digits(value):
@@ -93,9 +112,9 @@ def base_spans(text):
 
 
 def _spans_of(text, kind: str):
-    hint = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike("[0-9]{2}|[0-9][ -][0-9]")
-    spans = F.filter(matches(text, PATTERNS[kind], CONTEXT), lambda s: _valid(kind, s["value"]))
-    spans = F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"], s["end"], s["value"], s["left"], s["right"]))
+    hint = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]")
+    spans = F.filter(matches(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
+    spans = F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"], s["end"], s["value"]))
     return F.when(hint, spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
@@ -104,80 +123,156 @@ def _entity(span):
     return F.xxhash64(span["kind"], key)
 
 
-def _near_terms(span):
-    """Whole words of the span's two contexts, with positions in the text."""
+def pieces_at(text, ranges):
+    """The text between the positions (from, to) of each range; linear in the text and the ranges."""
+
+    def cut(blocks):
+        def piece(r):
+            a, b = F.floor(r["from"] / _BLOCK).cast("int"), F.floor(r["to"] / _BLOCK).cast("int")
+            first, last = F.coalesce(F.get(blocks, a), F.lit("")), F.coalesce(F.get(blocks, b), F.lit(""))
+            begin = F.pmod(r["from"], F.lit(_BLOCK)).cast("int") + 1
+            across = F.concat(F.substring(first, begin, F.lit(_BLOCK)), F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(last, F.lit(1), F.pmod(r["to"], F.lit(_BLOCK)).cast("int")))
+            return F.when(r["to"] <= r["from"], "").when(a == b, F.substring(first, begin, (r["to"] - r["from"]).cast("int"))).otherwise(across)
 
-    def side(text, shift, cut):
-        words = F.filter(matches(text, _WORD), lambda w: ~cut(w))
-        return F.transform(words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + shift).alias("start"), (w["end"] + shift).alias("end"), w["value"].alias("value")))
+        return F.transform(ranges, piece)
 
-    left = side(span["left"], span["start"] - F.length(span["left"]), lambda w: (w["start"] == 0) & (F.length(span["left"]) == CONTEXT))
-    right = side(span["right"], span["end"], lambda w: w["end"] == CONTEXT)
-    return F.concat(left, right)
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)), cut)
+
+
+def contexts(text, base):
+    """The terms near each base span that no base span covers, with the span's entity: array of (entity, term)."""
+    n = F.length(text)
+    around = F.transform(base, lambda s: F.struct(F.greatest(s["start"] - CONTEXT - 1, F.lit(0)).alias("from"), F.least(s["end"] + CONTEXT + 1, n).alias("to")))
+
+    def near(s, i, windows):
+        window, low = F.get(windows, i), F.greatest(s["start"] - CONTEXT - 1, F.lit(0))
+        # A word cut by the window's edge is not whole.
+        words = F.filter(matches(window, _WORD), lambda w: ((w["start"] > 0) | (low == 0)) & ((w["end"] < F.length(window)) | (s["end"] + CONTEXT + 1 >= n)))
+        words = F.filter(words, lambda w: (low + w["end"] <= s["start"]) | (low + w["start"] >= s["end"]))
+        return F.transform(F.array_distinct(F.transform(words, lambda w: F.lower(w["value"]))), lambda t: F.struct(_entity(s).alias("entity"), t.alias("term")))
+
+    return _let(pieces_at(text, around), lambda windows: F.array_distinct(F.flatten(F.transform(base, lambda s, i: near(s, i, windows)))))
+
+
+def _key(id_column: str):
+    """The id as text; null is an id of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(id_column).cast("string")), F.lit(""))
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, a hash of the text, and ``base``; written once to the shared folder."""
+    """Per row: id, its ``key``, a hash of the text, ``base`` and, where that is not empty, the text; written once to the shared folder."""
     text = store.text_of(text_column)
-    found = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"))
-    return store.materialize(found, "pii")
+    found = docs.select(F.col(id_column).alias("id"), _key(id_column).alias("key"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), text.alias("text"))
+    return store.materialize(found.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii")
+
 
+def _mentioning(found: DataFrame) -> DataFrame:
+    """The distinct (key, text_hash) with base spans, their text and number of rows; written once."""
+    some = found.where(F.size("base") > 0).groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.first("base").alias("base"), F.first("text").alias("text"))
+    return store.materialize(some, "pii-documents")
 
-def disclosing(docs: DataFrame, found: DataFrame, text_column: str = "text") -> DataFrame:
-    """Term spans by (id, text_hash): ``terms`` is an array of (start, end, value, action), by start."""
-    mentions = found.where(F.size("base") > 0).select("id", "text_hash", "base", F.explode("base").alias("m"))
-    near = mentions.select("id", "text_hash", "base", _entity(F.col("m")).alias("entity"), F.explode(_near_terms(F.col("m"))).alias("t"))
-    near = near.where(~F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))))
-    pairs = store.materialize(near.select("id", "text_hash", "entity", "t.*"), "pii-terms")
 
-    once = pairs.select("id", "text_hash", "entity", "term").distinct()
-    joint = once.groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts"))
-    joint = joint.where(F.col("texts") >= MIN_TEXTS)
-    entities = once.select("id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+def scores(docs: DataFrame, found: DataFrame, mentioning: DataFrame, text_column: str = "text", min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, n_both, n_term, n_entity, disclosure) of candidates, and (key, text_hash, entity, term) of the documents that hold both."""
+    total = float(max(found.count(), 1))
+    near = mentioning.select("text_hash", F.explode(contexts(F.col("text"), F.col("base"))).alias("c")).select("c.*", "text_hash")
+    pairs = store.materialize(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_near")), "pii-pairs")
+    holders = mentioning.select("key", "text_hash", "rows", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = holders.groupBy("entity").agg(F.sum("rows").alias("n_entity"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(store.text_of(text_column)), F.lit(_WORD), F.lit(0)))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = found.count()
-    log = lambda x: F.log2(x.cast("double"))
-    pmi = log(F.col("n_both")) + F.log2(F.lit(float(max(total, 1)))) - log(F.col("n_term")) - log(F.col("n_entity"))
-    ic = F.log2(F.lit(float(max(total, 1)))) - log(F.col("n_entity"))
-    scored = joint.join(entities, "entity").join(terms, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
+
+    ic = -F.log2(F.col("n_entity") / total)
+
+    def disclosure(n_both):
+        prior = F.col("n_entity") / total
+        given = (n_both + SMOOTHING * prior) / (F.col("n_term") + SMOOTHING)
+        return F.when(ic > 0, F.log2(given / prior) / ic).otherwise(0.0)
+
+    # With n(t, e) at its most, min(n(t), n(e)), most pairs are ruled out.
+    bound = disclosure(F.least("n_term", "n_entity"))
+    candidates = pairs.join(terms, "term").join(entities, "entity").where(bound >= GENERALISE).select("entity", "term", "n_term", "n_entity")
+    candidates = store.materialize(candidates, "pii-candidates")
+
+    wanted = store.materialize(candidates.select("term").distinct(), "pii-terms")
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+    held = store.materialize(mentioning.select("key", "text_hash", F.explode(own).alias("term")).join(wanted, "term", "left_semi"), "pii-held")
+    both = held.join(candidates.select("entity", "term"), "term").join(holders, ["key", "text_hash", "entity"]).select("key", "text_hash", "entity", "term", "rows")
+    both = store.materialize(both, "pii-both")
+    counted = both.groupBy("entity", "term", "text_hash").agg(F.sum("rows").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts"))
+    scored = counted.where(F.col("texts") >= min_texts).join(candidates, ["entity", "term"]).withColumn("disclosure", disclosure(F.col("n_both")))
+    return scored.drop("texts"), both
+
+
+def disclosing(docs: DataFrame, found: DataFrame, text_column: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
+    """Term spans by (key, text_hash): ``terms`` is an array of (start, end, value, action), by start; outside base spans."""
+    mentioning = _mentioning(found)
+    scored, both = scores(docs, found, mentioning, text_column, min_texts)
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
     flagged = store.materialize(scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", action.alias("action")), "pii-flagged")
-    hits = pairs.join(flagged, ["entity", "term"]).groupBy("id", "text_hash", "start", "end", "value").agg(F.max("action").alias("action"))
-    return hits.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "action"))).alias("terms"))
+    wanted = both.join(flagged, ["entity", "term"]).groupBy("key", "text_hash", "term").agg(F.max("action").alias("action"))
+    wanted = store.materialize(wanted, "pii-hits")
+
+    # Whole documents: every word, joined to the document's flagged terms.
+    hit = store.materialize(wanted.select("key", "text_hash").distinct(), "pii-hit-documents")
+    placed = mentioning.join(hit, ["key", "text_hash"], "left_semi").select("key", "text_hash", "base", F.explode(matches(F.col("text"), _WORD)).alias("w"))
+    placed = placed.select("key", "text_hash", F.lower("w.value").alias("term"), "w.*").join(wanted, ["key", "text_hash", "term"])
+    terms = placed.groupBy("key", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "action"))).alias("terms"))  # words of one document
+    whole = terms.join(mentioning.select("key", "text_hash", "base"), ["key", "text_hash"])
+    return whole.select("key", "text_hash", _outside("terms", "base").alias("terms"))
+
+
+def _outside(terms: str, base: str):
+    """Terms that no base span overlaps: both sorted by start together, a term is out where an earlier span reaches beyond its start or its end the next span's start."""
+    spans = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("o"), s["end"].alias("end"), F.lit("").alias("value"), F.lit("").alias("action")))
+    words = F.transform(terms, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("o"), t["end"].alias("end"), t["value"].alias("value"), t["action"].alias("action")))
+
+    def keep(every):
+        reach = running(F.transform(every, lambda e: F.when(e["o"] == 0, e["end"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+        ahead = F.reverse(running(F.reverse(F.transform(every, lambda e: F.when(e["o"] == 0, e["start"]).otherwise(2**31 - 1))), lambda a, b: F.least(a, b)))
+        free = F.zip_with(F.zip_with(every, reach, lambda e, r: F.struct(e.alias("e"), r.alias("r"))), ahead, lambda x, s: F.struct(x["e"].alias("e"), (x["e"]["o"] == 1) & (x["r"] <= x["e"]["start"]) & (s >= x["e"]["end"])))
+        return F.transform(F.filter(free, lambda x: x["col2"]), lambda x: F.struct(x["e"]["start"].alias("start"), x["e"]["end"].alias("end"), x["e"]["value"].alias("value"), x["e"]["action"].alias("action")))
+
+    return _let(F.array_sort(F.concat(spans, words)), keep)
+
+
+def category(value):
+    """What a generalised term is replaced by: a number, a name (capitalised) or a word."""
+    return F.when(value.rlike(r"^\p{N}+$"), "[NUMBER]").when(value.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
 
 
 def sanitised(text, base, terms):
-    """The text with base spans masked and disclosing terms generalised or removed."""
-    spans = F.array_sort(
-        F.concat(
-            F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.create_map(*[F.lit(x) for p in MASKS.items() for x in p]), s["kind"]).alias("mask"))),
-            F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", "").when(t["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]").alias("mask"))),
-        )
+    """The text with base spans masked and disclosing terms generalised or removed; of overlapping spans the first decides."""
+    mask = F.create_map(*[F.lit(x) for p in MASKS.items() for x in p])
+    spans = F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(mask, s["kind"]).alias("mask"))),
+        F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", "").otherwise(category(t["value"])).alias("mask"))),
     )
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["pos"]
-        gap = F.when(fresh, F.concat(F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), s["mask"])).otherwise("")
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], gap).alias("out"))
-
-    end = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(end)
+    def rewrite(s):
+        def between(reach):
+            before = lambda i: F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+            gaps = F.transform(s, lambda x, i: F.struct(before(i).alias("from"), x["start"].alias("to")))
+            gaps = F.concat(gaps, F.array(F.struct(F.element_at(reach, -1).alias("from"), F.length(text).alias("to"))))
+            masks = F.concat(F.transform(s, lambda x, i: F.when(x["start"] >= before(i), x["mask"]).otherwise("")), F.array(F.lit("")))
+            return F.array_join(F.zip_with(pieces_at(text, gaps), masks, lambda a, b: F.concat(a, b)), "")
 
+        return _let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), between)
 
-_NO_TERMS = "array<struct<start:int,end:int,value:string,action:string>>"
+    return F.when(F.size(base) + F.size(terms) == 0, text).otherwise(_let(F.array_sort(spans), rewrite))
 
 
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with sanitised text; rows without a span are unchanged (null stays null)."""
     found = find(docs, id_column, text_column)
-    spans = found.where(F.size("base") > 0)
-    spans = spans.join(disclosing(docs, found, text_column), ["id", "text_hash"], "left")
-    spans = spans.dropDuplicates(["id", "text_hash"]).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("__base"), F.coalesce("terms", F.array().cast(_NO_TERMS)).alias("__terms"))
-    hashed = docs.withColumn("__text_hash", F.xxhash64(store.text_of(text_column)))
-    joined = hashed.join(spans, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    text = F.when(F.col("__base").isNull(), F.col(text_column)).otherwise(sanitised(F.col(text_column), F.col("__base"), F.col("__terms")))
-    return joined.withColumn(text_column, text).select(*docs.columns)
+    spans = found.where(F.size("base") > 0).dropDuplicates(["key", "text_hash"]).join(disclosing(docs, found, text_column), ["key", "text_hash"], "left")
+    spans = spans.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("__base"), F.coalesce("terms", F.array().cast(TERM)).alias("__terms"))
+    spans = store.materialize(spans, "pii-spans")
+    rows = docs.select(F.struct("*").alias("__row"), _key(id_column).alias("__own"), F.xxhash64(store.text_of(text_column)).alias("__text_hash"))
+    joined = rows.join(spans, (F.col("__own") == F.col("__key")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    own = F.col("__row")[text_column]
+    text = F.when(F.col("__base").isNull(), own).otherwise(sanitised(own, F.col("__base"), F.col("__terms")))
+    return joined.select(*[text.alias(c) if c == text_column else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def _count_of(kind: str):
@@ -187,8 +282,8 @@ def _count_of(kind: str):
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.documents(spark, sf_dir, "doc_id", "text")
     found = find(docs)
-    spans = found.join(disclosing(docs, found), ["id", "text_hash"], "left")
+    spans = found.join(store.materialize(disclosing(docs, found), "pii-disclosing"), ["key", "text_hash"], "left")
     listed = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    extra = F.transform(F.coalesce("terms", F.array().cast(_NO_TERMS)), lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
+    extra = F.transform(F.coalesce("terms", F.array().cast(TERM)), lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
     counts = [_count_of(k).alias(f"n_{k}") for k in PATTERNS]
     return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.array_join(listed, ","), 256).alias("base_sha256"), F.array_join(F.concat(listed, extra), ",").alias("spans"))

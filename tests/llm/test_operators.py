@@ -144,6 +144,99 @@ def test_pii_disclosing_terms(spark):
         assert "<EMAIL>" in out[i] and "zed@" not in out[i] and "Zorblatt" not in out[i] and "plain words" in out[i]
 
 
+def test_pii_rare_terms_in_whole_documents(spark):
+    """Short names and numbers, entities that occur once, null ids, and places far from the mention."""
+    clean = [(i, f"plain words called from the number {i} of x", None) for i in range(60)]
+    far = "Kim Q7 called from +49 30 1234567, plain words; 4242 is the number of Kim " + "x " * 200 + "Kim. And Kimono"
+    d = spark.createDataFrame([*clean, (200, far, None), (None, far, None)], "doc_id bigint, text string, lang string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
+    assert len(out) == 62 and all(out[i] == t for i, t, _ in clean)
+    assert out[200] == out[None] == "[NAME] [NAME] called from <PHONE>, plain words; [NUMBER] [WORD] the number of [NAME] " + "x " * 200 + "[NAME]. And Kimono"
+
+
+def _brute_terms(rows, min_share=pii.GENERALISE):
+    """Flagged (row, term) by counting over whole documents in plain Python."""
+    import math
+
+    def words(t):
+        return [(m.start(), m.end(), m.group(0).lower()) for m in regex.finditer(r"[\p{L}\p{N}]+", t)]
+
+    import regex
+
+    texts = [t or "" for _, t in rows]
+    base = [spans(t) for t in texts]
+
+    def entity(t, s):
+        v = t[s[1] : s[2]]
+        return (s[0], re.sub(r"\D", "", v) if s[0] in ("card", "phone") else v.lower())
+
+    bags = [{w for _, _, w in words(t)} for t in texts]
+    holds = [{entity(t, s) for s in b} for t, b in zip(texts, base)]
+    pairs = set()
+    for t, b in zip(texts, base):
+        for s in b:
+            low, high = max(0, s[1] - pii.CONTEXT - 1), min(len(t), s[2] + pii.CONTEXT + 1)
+            for a, e, w in words(t):
+                if a > low - (low == 0) and e < high + (high == len(t)) and (e <= s[1] or a >= s[2]):
+                    pairs.add((entity(t, s), w))
+    n_term = collections.Counter(w for bag in bags for w in bag)
+    n_entity = collections.Counter(e for h in holds for e in h)
+    n, flagged = len(rows), {}
+    for e, w in pairs:
+        both = sum(e in h and w in bag for h, bag in zip(holds, bags))
+        prior = n_entity[e] / n
+        if prior < 1:
+            share = math.log2((both + pii.SMOOTHING * prior) / (n_term[w] + pii.SMOOTHING) / prior) / -math.log2(prior)
+            if share >= min_share - 1e-12:
+                flagged[e, w] = share
+    out = []
+    for t, b, h in zip(texts, base, holds):
+        mine = []
+        for a, e, w in words(t):
+            top = max((flagged[x, w] for x in h if (x, w) in flagged), default=None)
+            if top is not None and not any(s[1] < e and s[2] > a for s in b):
+                mine.append((a, e, "remove" if top >= pii.REMOVE else "generalise"))
+        out.append(mine)
+    return base, out
+
+
+@pytest.mark.parametrize("table", ["made", "sf0.001"])
+def test_pii_terms_against_counting(spark, docs, table):
+    d = docs.select("doc_id", "text").distinct() if table == "made" else spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    base, want = _brute_terms(rows)
+    found = pii.find(d)
+    terms = {r["key"]: [(t["start"], t["end"], t["action"]) for t in r["terms"]] for r in pii.disclosing(d, found).collect()}
+    got = [terms.get(f"={i}", []) for i, _ in rows]
+    assert got == want and sum(map(len, want)) > 10
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
+    for (i, text), b, t in zip(rows, base, want):
+        out, pos = [], 0
+        marks = [(s, e, pii.MASKS[k]) for k, s, e in b] + [(s, e, "" if a == "remove" else "?") for s, e, a in t]
+        for s, e, mask in sorted(marks):
+            if s >= pos:
+                out += [text[pos:s], mask]
+            pos = max(pos, e)
+        plain = None if text is None else re.sub(r"\[(NAME|NUMBER|WORD)\]", "?", clean[i])
+        assert plain == (text if not marks else "".join(out) + text[pos:])
+
+
+def test_pii_in_long_lists(spark):
+    """Megabytes of numbers, addresses and cards take time in proportion."""
+    import time
+
+    texts = [" ".join(str(i) for i in range(10, 150_000)), " ".join(f"a{i}@b{i}.org" for i in range(30_000)), " ".join("4111 1111 1111 1111," for _ in range(20_000)), "1.2.3.4 " * 50_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.time()
+    found = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in pii.find(d).collect()}
+    assert time.time() - began < 60
+    assert all(found[i] == spans(t) for i, t in enumerate(texts))
+    began = time.time()
+    out = pii.sanitised(F.col("text"), pii.base_spans(F.col("text")), F.array().cast(pii.TERM))
+    masked = {r[0]: r[1] for r in d.select("doc_id", out).collect()}
+    assert time.time() - began < 60 and masked[1] == " ".join(["<EMAIL>"] * 30_000) and masked[0] == texts[0]
+
+
 def shingles(t):
     w = [x for x in re.split(r"[ \t\n\r\f\x0b]+", t) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
