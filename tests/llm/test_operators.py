@@ -278,6 +278,52 @@ def test_large_near_group_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(40)] == want
 
 
+def _near_texts(r, n_groups, similarity):
+    """Pairs of texts of about 120 words at a Jaccard similarity near the given one."""
+    texts = []
+    for g in range(n_groups):
+        w = [f"g{g}w{i}" for i in range(124)]
+        changed, other = int(round(124 * (1 - similarity) / (1 + similarity) / 2 * 2)), list(w)
+        other[124 - changed :] = [f"g{g}x{i}" for i in range(changed)]  # a changed tail: one shingle each
+        texts += [" ".join(w), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize("similarity", [0.81, 0.85, 0.9, 0.97])
+def test_forest_recall_by_similarity(spark, similarity):
+    texts = _near_texts(np.random.default_rng(1), 150, similarity)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i for i in range(0, 300, 2) if len(shingles(texts[i]) & shingles(texts[i + 1])) >= 0.8 * len(shingles(texts[i]) | shingles(texts[i + 1]))}
+    got = {r["class_id"] for r in near_duplicates.join(d).where("doc_id != class_id").collect()}
+    assert len(want) == 150 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_shortening_stops_at_the_target(spark, monkeypatch):
+    """Only near-identical texts: the estimate needs no shorter prefixes; borderline ones: it does."""
+    depths = []
+    inner = near_duplicates._compare
+    monkeypatch.setattr(near_duplicates, "_compare", lambda m, s, t, depth, deepest: depths.append(depth) or inner(m, s, t, depth, deepest))
+    r = np.random.default_rng(1)
+    d = spark.createDataFrame(list(enumerate(_near_texts(r, 60, 0.98))), "doc_id bigint, text string")
+    monkeypatch.setattr(near_duplicates, "RECALL", 0.9)
+    docs = d.select("doc_id", "text")
+    monkeypatch.setattr(near_duplicates.forest_links, "__defaults__", (0.8, 0.9, 5))
+    assert near_duplicates.join(docs).where("n_links = 1").count() == 120 and depths == [5]
+    assert not near_duplicates._enough(100, 0.0, 0.999) and near_duplicates._enough(100_000, 5.0, 0.999) and not near_duplicates._enough(100_000, 200.0, 0.999)
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (1, b), (3, b + " more"), (5, c), (5, b), (None, c), (7, None), (7, None), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = collections.Counter(map(tuple, near_duplicates.join(d).collect()))
+    want = [(1, 1, 1, 1), (2, 1, 1, 1), (1, 1, 1, 2), (3, 3, 1, 2), (5, 5, 5, 1), (5, 1, 1, 2), (None, 5, 5, 1), (7, 7, 7, 0), (7, 7, 7, 0), (8, 8, 8, 0)]
+    assert got == collections.Counter(want)
+    kept = near_duplicates.first_of_each(d.withColumn("__id", F.lit("clash")))
+    assert kept.columns == ["doc_id", "text", "__id"]
+    assert sorted(map(repr, [tuple(x)[:2] for x in kept.collect()])) == sorted(map(repr, [(1, a), (1, b), (5, c), (None, c), (7, None), (8, "")]))
+
+
 def test_prefix_depth_reaches_the_recall():
     k = near_duplicates.prefix_depth()
     assert 1 - (1 - 0.8**k) ** near_duplicates.TREES >= near_duplicates.RECALL
