@@ -34,9 +34,9 @@ from chartloom.llm import store
 from chartloom.llm.words import mix, run_hashes, runs, slices
 
 THRESHOLD, SHINGLE = 0.8, 5
-TREES, DEPTH, RECALL = 12, 5, 0.9995
+TREES, DEPTH, RECALL = 12, 4, 0.9995
 #: A block holds about this many documents, or this many shingles if that is fewer documents.
-BLOCK_DOCS, BLOCK_SHINGLES = 192, 300_000
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 300_000
 _SEEDS = np.random.default_rng(20240501).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -126,7 +126,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     owner, code = owner[keep], number[code[keep]]
     width = int(shared.sum())
     out = np.zeros((m, m), np.int64)
-    step = 1 << 16  # bitmaps of 65,536 shingles at a time bound the memory
+    step = 1 << 14  # bitmaps of 16,384 shingles at a time bound the memory
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     for low in range(0, width, step):

@@ -307,8 +307,8 @@ def test_shortening_stops_at_the_target(spark, monkeypatch):
     d = spark.createDataFrame(list(enumerate(_near_texts(r, 60, 0.98))), "doc_id bigint, text string")
     monkeypatch.setattr(near_duplicates, "RECALL", 0.9)
     docs = d.select("doc_id", "text")
-    monkeypatch.setattr(near_duplicates.forest_links, "__defaults__", (0.8, 0.9, 5))
-    assert near_duplicates.join(docs).where("n_links = 1").count() == 120 and depths == [5]
+    monkeypatch.setattr(near_duplicates.forest_links, "__defaults__", (0.8, 0.9, near_duplicates.DEPTH))
+    assert near_duplicates.join(docs).where("n_links = 1").count() == 120 and depths == [near_duplicates.DEPTH]
     assert not near_duplicates._enough(100, 0.0, 0.999) and near_duplicates._enough(100_000, 5.0, 0.999) and not near_duplicates._enough(100_000, 200.0, 0.999)
 
 
