@@ -5,6 +5,15 @@ judged by rules mined from labelled ones: FP-growth finds token combinations
 that occur with a verdict often enough (support) and almost only with it
 (confidence).  At judging time an inverted index from each rule's rarest token
 gives the rules that can apply; the most confident that does apply decides.
+
+Tokens below the support are in no rule, and tokens that occur in the very same
+URLs can stand for one another in any rule: both leave the baskets before they
+are mined, so that many tokens that always come together are one item and not
+all their combinations.  At judging time a url with any token of such a class
+has the item.  What remains is exponential only in the tokens of one url that
+are frequent and occur in different sets of URLs.
+
+Repeated rows count as often as they occur, and equal urls get equal verdicts.
 """
 
 from dataclasses import dataclass
@@ -57,30 +66,58 @@ def tokens_of(url):
 
 @dataclass
 class Rule:
+    """A verdict for urls that have a token of each of ``tokens``, every one of which stands for its class."""
+
     tokens: frozenset
     block: bool
     confidence: float
     support: float
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Rule]:
+class Rules(list):
+    """Rules, most confident first, and ``item_of``: the item of each token that is not its own."""
+
+    def __init__(self, rules=(), item_of: dict[str, str] | None = None) -> None:
+        super().__init__(rules)
+        self.item_of = item_of or {}
+
+    def items(self, tokens) -> set[str]:
+        return {self.item_of.get(t, t) for t in tokens}
+
+
+def token_classes(baskets: DataFrame, least: float) -> DataFrame:
+    """(token, item) of the tokens in at least ``least`` rows of (row, items): the item is the first token of those in the same rows.
+
+    Row sets are compared by size and two sums of row hashes.  At most rows x
+    tokens a row / least tokens remain, whatever the number of rows.
+    """
+    row = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(20,0)")).alias(f"sum{k}") for k in (1, 2)]
+    sets = baskets.select("row", F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *row).where(F.col("n") >= least)
+    same = sets.groupBy("n", "sum1", "sum2").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return same.select(F.explode("tokens").alias("token"), "item")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> Rules:
     """Rules from (url, block) rows, most confident first.  Rows with a null url or label are ignored; no rows, no rules.
 
-    Every rule over support and confidence counts.  One that holds all tokens of
+    Every rule over support and confidence counts.  One that holds all items of
     an earlier rule can never decide and is left out as it is read.
     """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    baskets = store.materialize(
-        labelled.where("url is not null and block is not null").select(
-            F.concat(F.filter(tokens_of(F.col("url")), lambda t: t != "h:www"), F.array(F.when(F.col("block"), "=block").otherwise("=allow"))).alias("items")
-        ),
-        "baskets",
-    )
-    if baskets.isEmpty():
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=4 * store.width(spark)).fit(baskets)
+    known = labelled.where("url is not null and block is not null")
+    baskets = store.materialize(known.select(F.monotonically_increasing_id().alias("row"), F.filter(tokens_of(F.col("url")), lambda t: t != "h:www").alias("items"), "block"), "baskets")
+    total = baskets.count()
+    if not total:
+        return Rules()
+    classes = store.materialize(token_classes(baskets, min_support * total), "token-classes")
+    item_of = {r["token"]: r["item"] for r in classes.collect()}  # bounded by tokens a url / min_support
+    mapping = spark.createDataFrame(sorted(item_of.items()), "token string, item string")
+    own = baskets.select("row", F.explode("items").alias("token")).join(F.broadcast(mapping), "token").groupBy("row").agg(F.collect_set("item").alias("own"))
+    label = F.when(F.col("block"), "=block").otherwise("=allow")
+    items = store.materialize(baskets.join(own, "row", "left").select(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array(label)).alias("items")), "items")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=4 * store.width(spark)).fit(items)
     wanted = F.col("consequent")[0].isin("=block", "=allow") & (F.size("antecedent") > 0)
     found = model.associationRules.where(wanted).select(F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("label"), "confidence", "support")
     ranked = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), F.array_join("tokens", " "))
@@ -91,13 +128,14 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         if not any(t <= tokens for x in tokens for t in by_least.get(x, ())):
             by_least.setdefault(min(tokens), []).append(tokens)
             kept.append(Rule(tokens, r["label"] == "=block", r["confidence"], r["support"]))
-    return kept
+    return Rules(kept, {t: i for t, i in item_of.items() if t != i})
 
 
 class RuleIndex:
     """Rules by their rarest token (the one in fewest rules)."""
 
     def __init__(self, rules: list[Rule]) -> None:
+        self.rules = rules if isinstance(rules, Rules) else Rules(rules)
         uses: dict[str, int] = {}
         for r in rules:
             for t in r.tokens:
@@ -109,7 +147,7 @@ class RuleIndex:
 
     def judge(self, tokens) -> bool | None:
         """The verdict of the most confident rule whose tokens all occur; None where none does."""
-        have, best, verdict = set(tokens), None, None
+        have, best, verdict = self.rules.items(tokens), None, None
         for t in have:
             for rank, r in self.by_token.get(t, ()):
                 if best is not None and rank > best:
@@ -124,7 +162,9 @@ def judge(pages: DataFrame, rules: list[Rule], url_column: str = "url") -> DataF
     """Adds host, path, rule and verdict.
 
     Null urls and those without "://" have empty host and path, and are allowed;
-    so is a url that no fixed or mined rule covers.
+    so is a url that no fixed or mined rule covers.  Equal rows get equal
+    results, an empty table an empty one; columns named as the four results are
+    replaced by them.
     """
     index = pages.sparkSession.sparkContext.broadcast(RuleIndex(rules))  # their number follows the support, a share of the labels, not the input
 
@@ -139,8 +179,9 @@ def judge(pages: DataFrame, rules: list[Rule], url_column: str = "url") -> DataF
     for rule, verdict in RULES:
         blocks = F.when(fixed == rule, F.lit(verdict == "block")).otherwise(blocks)
     block = F.when(F.col("rule").isNotNull(), F.col("__fixed")).otherwise(F.coalesce(F.col("__mined"), F.lit(False)))
-    judged = pages.withColumns({"host": host, "path": path, "rule": fixed, "__fixed": blocks, "__mined": mined(tokens_of(url))})
-    return judged.withColumn("verdict", F.when(block, "block").otherwise("allow")).drop("__fixed", "__mined")
+    keep = store.others(pages, "host", "path", "rule", "verdict")
+    judged = pages.select(F.struct(*keep).alias("__row"), host.alias("host"), path.alias("path"), fixed.alias("rule"), blocks.alias("__fixed"), mined(tokens_of(url)).alias("__mined"))
+    return judged.select(*[F.col("__row")[c].alias(c) for c in keep], "host", "path", "rule", F.when(block, "block").otherwise("allow").alias("verdict"))
 
 
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
