@@ -9,7 +9,8 @@ eight bits of every bin's value.  Two equal low parts may come from different
 values, so the share of equal bins is corrected for chance.
 
 Words are split at white space.  Fewer than five words make one shingle; a text
-without words has the shingle of the empty string.
+without words has the shingle of the empty string.  Equal texts have equal
+fingerprints; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,49 +86,63 @@ def likeness(a, b):
 
 
 def fingerprint(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Adds ``fingerprint_codes``; null texts count as empty."""
+    """Adds ``fingerprint_codes``, replacing a column of that name; null texts count as empty."""
     return docs.withColumn("fingerprint_codes", codes(store.text_of(text_column)))
 
 
+#: A task of ``with_next`` is meant to read about this many bytes of text, in ranges of keys of a fourth of that.
+TASK_BYTES = 32 << 20
+RANGES = 4
+
+
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", derived: dict | None = None) -> DataFrame:
     """Adds ``next_<column>``: the value in the next document by descending key; the last's next is the first.
 
     ``derived`` columns are made from ``columns`` once a document, and have a next as well.
 
-    Documents are dealt into many ranges of keys.  Each range gets a guest, a
-    copy of the first document of the range after it, so that every document
-    finds its next in its own range: no global sort and one exchange.  Equal
-    keys are ordered by row hash; null keys come last.
+    Documents are dealt into ranges of keys, whose number follows the bytes in
+    ``columns``.  Each range gets a guest, a copy of the first document of the
+    range after it, so that every document finds its next in its own range: no
+    global sort and one exchange.  Equal keys are ordered by row hash; null keys
+    come last.  Columns named as an output are replaced.
     """
     spark = docs.sparkSession
-    n = 8 * store.width(spark)
-    lo, hi = docs.agg(F.min(key), F.max(key)).first()
+    added = [f"next_{c}" for c in (*columns, *(derived or ()))]
+    docs = docs.select(*store.others(docs, *added, "__b", "__top", "__from", "__first", "__guest", "__tie"))
+    size = sum((F.coalesce(F.length(F.col(c).cast("binary")), F.lit(0)) if docs.schema[c].dataType.simpleString() == "string" else F.lit(8) for c in columns), F.lit(8))
+    lo, hi, total, total_bytes = docs.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.sum(size.cast("bigint"))).first()
+    tasks = max(store.width(spark), -(-int(total_bytes or 0) // TASK_BYTES))
+    n = RANGES * tasks
     if lo is None:
         lo = hi = 0
+
+    def top_of(bucket) -> DataFrame:
+        return store.materialize(docs.groupBy(bucket.cast("bigint").alias("__b")).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("__top")), "ranges")
+
     bucket = F.coalesce(F.width_bucket(F.col(key).cast("double"), F.lit(float(lo)), F.lit(float(hi) + 1), F.lit(n)), F.lit(0)) if hi > lo else F.when(F.col(key).isNull(), 0).otherwise(1)
-    counts = docs.groupBy(bucket.cast("bigint").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("top")).collect()  # at most n + 1 rows
-    total = sum(r["n"] for r in counts)
-    if counts and max(r["n"] for r in counts) > 8 * total / len(counts) and max(r["n"] for r in counts) > 10_000:
+    ranges = top_of(bucket)
+    most, count = ranges.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if most > max(8 * total / max(count, 1), 10_000):  # keys lie unevenly: ranges of about equal counts
+        n = min(n, 4_000)
         cuts = sorted({c for c in docs.select(F.percentile_approx(key, [i / n for i in range(1, n)])).first()[0] or []})
         bucket = F.when(F.col(key).isNull(), 0).otherwise(1 + F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))))
-        counts = docs.groupBy(bucket.cast("bigint").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("top")).collect()
+        ranges = top_of(bucket)
     table = docs.withColumn("__b", bucket.cast("bigint"))
-    tops = sorted(((r["b"], r["top"]) for r in counts), reverse=True)
-    guests_of = [(b, tops[(i + 1) % len(tops)][0]) for i, (b, _) in enumerate(tops)]
+    # The range that follows each, in descending order; the last is followed by the first.  One row a range.
+    down = Window.orderBy(F.desc("__b"))
+    links = ranges.select("__b", F.coalesce(F.lead("__b").over(down), F.max("__b").over(Window.partitionBy(F.lit(0)))).alias("__from"))
     order = [F.col("__guest"), F.desc_nulls_last(key), F.col("__tie")]
     keep = [key, *columns]
     # The first documents of the ranges, at most one a range.
-    first_keys = spark.createDataFrame([(b, t) for b, t in tops], "__b bigint, __top bigint")
-    firsts = table.select("__b", *keep).join(F.broadcast(first_keys), (table["__b"] == first_keys["__b"]) & table[key].eqNullSafe(first_keys["__top"])).drop(first_keys["__b"])
-    firsts = firsts.withColumn("__tie", F.xxhash64(*keep))
-    firsts = firsts.groupBy("__b").agg(F.min_by(F.struct(*keep), "__tie").alias("__first"))
-    links = spark.createDataFrame(guests_of, "__to bigint, __from bigint")
-    guests = firsts.join(F.broadcast(links), firsts["__b"] == links["__from"]).select(F.col("__to").alias("__b"), F.lit(1).alias("__guest"), F.lit(0).cast("bigint").alias("__tie"), "__first.*")
+    tops = ranges.select(F.col("__b").alias("__of"), "__top")
+    firsts = table.select("__b", *keep).join(tops, (F.col("__b") == F.col("__of")) & F.col(key).eqNullSafe(F.col("__top"))).select("__b", *keep)
+    firsts = firsts.withColumn("__tie", F.xxhash64(*keep)).groupBy("__b").agg(F.min_by(F.struct(*keep), "__tie").alias("__first")).withColumnRenamed("__b", "__from")
+    guests = firsts.join(links, "__from").select("__b", F.lit(1).alias("__guest"), F.lit(0).cast("bigint").alias("__tie"), "__first.*")
     rows = table.select("*", F.lit(0).alias("__guest"), F.xxhash64(*keep).alias("__tie"))
     # Derived on either side of the union: the search for the first documents reads no derived column.
     everyone = rows.withColumns(derived or {}).unionByName(guests.withColumns(derived or {}), allowMissingColumns=True)
     w = Window.partitionBy("__b").orderBy(*order)
-    out = everyone.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (*columns, *(derived or ()))])
+    out = everyone.repartition(tasks, "__b").select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (*columns, *(derived or ()))])
     return out.where("__guest = 0").drop("__b", "__guest", "__tie")
 
 

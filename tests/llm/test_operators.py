@@ -496,6 +496,58 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprint.with_next(fingerprint.fingerprint(empty), ["text"]).count() == 0
 
 
+def _brute_codes(hashes):
+    """Least hash a bin, empty bins filled by each bin's own probes; ``probe(b, k)`` is the bin that b looks at k-th."""
+    least = {}
+    for h in hashes:
+        u = h % (1 << 64)
+        b = u >> 57
+        if b not in least or h < least[b]:
+            least[b] = h
+    return least
+
+
+def test_fingerprint_codes_against_brute_force(spark, docs):
+    d = docs.select("doc_id", fingerprint.shingle_hashes(store.text_of()).alias("h"), fingerprint.codes(store.text_of()).alias("codes")).distinct()
+    probe = spark.range(fingerprint.BINS).select("id", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(fingerprint.BINS)).alias(f"p{k}") for k in range(fingerprint.PROBES)], F.array([F.xxhash64("id", F.lit(x).cast("bigint")) for x in range(fingerprint.BINS)]).alias("own"))
+    probes = {r["id"]: r for r in probe.collect()}
+    for r in d.collect():
+        least = _brute_codes(r["h"])
+        want = []
+        for b in range(fingerprint.BINS):
+            looked = [b, *[probes[b][f"p{k}"] for k in range(fingerprint.PROBES)]]
+            at = next((x for x in looked if x in least), None)
+            if at is None:
+                at = min(least, key=lambda x: probes[b]["own"][x])
+            want.append(least[at] & 255)
+        assert list(r["codes"]) == want
+
+
+def test_fingerprint_query_edits(spark):
+    """The edited text of every document of a table, by plain Python."""
+    sf = "/root/testdata/sf0.001"
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
+    out = {r["doc_id"]: r for r in fingerprint.query(spark, sf).collect()}
+    assert len(out) == len(texts)
+    for (i, t), (j, u) in zip(texts, [*texts[1:], texts[0]]):
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert out[i]["n_chars"] == len(t) and out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = shingles(t), shingles(u), shingles(edited)
+        assert abs(out[i]["near_edited"] - (len(a & c) / len(a | c) if a | c else 1.0)) < 0.2
+        assert abs(out[i]["near_next"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.2
+        assert (out[i]["fingerprint"] == out[j]["fingerprint"]) >= (t == u)
+
+
+def test_next_document_in_ranges_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "TASK_BYTES", 64)
+    keys = [*range(0, 40), 40, 40, 10**12, None]
+    d = spark.createDataFrame([(k, f"text {i}", "clash") for i, k in enumerate(keys)], "doc_id bigint, text string, next_text string")
+    got = sorted(fingerprint.with_next(d, ["text"]).collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))
+    assert len(got) == len(keys) and sorted(r["next_text"] for r in got) == sorted(r["text"] for r in got)  # one circle
+    by = {r["doc_id"]: r["next_text"] for r in got if r["doc_id"] != 40}
+    assert by[10**12] in ("text 40", "text 41") and by[39] == "text 38" and by[0] == "text 43" and by[None] == "text 42"
+
+
 def test_language(spark, rows, empty):
     de, en = "der die das und nicht ein schön haus straße", "the and of with this house street nice"
     r = np.random.default_rng(2)
@@ -617,6 +669,63 @@ def test_url_rules_of_many_tokens(spark):
     assert not any(a.tokens < b.tokens and i < j for i, a in enumerate(rules) for j, b in enumerate(rules))
 
 
+def _brute_rules(rows, min_support, min_confidence):
+    """Every (tokens, block) over support and confidence, by counting all combinations."""
+    import itertools
+
+    least, seen, hits = min_support * len(rows), collections.Counter(), collections.Counter()
+    for tokens, block in rows:
+        for n in range(1, len(tokens) + 1):
+            for c in itertools.combinations(sorted(tokens), n):
+                seen[c] += 1
+                hits[c, block] += 1
+    ranked = [(hits[c, b] / seen[c], hits[c, b], frozenset(c), b) for c in seen for b in (True, False) if hits[c, b] >= least and hits[c, b] >= min_confidence * seen[c] - 1e-12]
+    return sorted(ranked, key=lambda r: (-r[0], -r[1], len(r[2]), " ".join(sorted(r[2]))))
+
+
+def test_mined_verdicts_against_counting(spark):
+    r = np.random.default_rng(9)
+    urls = []
+    for i in range(300):
+        parts = [f"p{k}" for k in "abcdefg" if r.random() < 0.4] + (["twin", "brother"] if r.random() < 0.3 else [])
+        urls.append((f"http://h{'xyz'[r.integers(0, 3)]}.test/{'/'.join(parts)}", bool(("pb" in parts) ^ (r.random() < 0.1) if "pc" in parts else "twin" in parts)))
+    df = spark.createDataFrame(urls, "url string, block boolean")
+    tokens = [(frozenset(x[0]) - {"h:www"}, x[1]) for x in df.select(url_filter.tokens_of(F.col("url")), "block").collect()]
+    brute = _brute_rules(tokens, 0.05, 0.8)
+    rules = url_filter.mine(df, 0.05, 0.8)
+    index = url_filter.RuleIndex(rules)
+    probes = [t for t, _ in tokens] + [t - {"p:twin"} for t, _ in tokens] + [frozenset({"p:brother", "p:pd"}), frozenset()]
+    for t in probes:
+        best = next((x for x in brute if x[2] <= t), None)
+        ties = {x[3] for x in brute if best and x[2] <= t and x[:2] == best[:2]}
+        assert index.judge(t) in (ties or {None})
+    assert len(rules) < len(brute)
+
+
+def test_many_tokens_that_come_together(spark):
+    urls = [(f"http://h/{'/'.join(f't{k}' for k in range(28))}" if i % 2 else f"http://h/n{i % 3}", bool(i % 2)) for i in range(60)]
+    rules = url_filter.mine(spark.createDataFrame(urls, "url string, block boolean"), 0.05, 0.8)
+    index = url_filter.RuleIndex(rules)
+    assert len(rules) < 10 and index.judge(["p:t#"]) is True and index.judge(["p:n#"]) is False
+    spelled = [(u.replace("t", "tx").translate(str.maketrans("0123456789", "abcdefghij")), b) for u, b in urls]
+    index = url_filter.RuleIndex(url_filter.mine(spark.createDataFrame(spelled, "url string, block boolean"), 0.05, 0.8))
+    assert index.judge(["p:txc"]) is index.judge(["p:txbb"]) is True and index.judge(["p:other"]) is None
+
+
+def test_url_host_path_and_rule_by_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    want = duckdb.sql(f"""
+      WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM '{path}'), p AS (
+        SELECT page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM u)
+      SELECT page_id, host, path, CASE
+        WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM p""").fetchall()
+    got = url_filter.judge(spark.read.parquet(path).withColumn("host", F.lit(1)), []).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_pipeline(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
