@@ -14,6 +14,7 @@ the bitmap (u64 words) and the directory (u64).
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -117,13 +118,14 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, raw: bytes, attempt: str) -> None:
-    """Write under an attempt's own name, then rename: a lost task leaves no partial file."""
+def write_file(uri: str, raw: bytes) -> None:
+    """Write under a hidden name, then rename: a lost task leaves no partial file."""
     fs, path = _filesystem(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    with fs.open_output_stream(f"{path}.{attempt}") as out:
+    folder, name = os.path.split(path)
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/.{name}") as out:
         out.write(raw)
-    fs.move(f"{path}.{attempt}", path)
+    fs.move(f"{folder}/.{name}", path)
 
 
 def read_file(uri: str) -> TokenFile:
@@ -145,8 +147,9 @@ def _writer(path: str, folder: str, end_id: int, file_tokens: int):
 
         def flush():
             nonlocal held, seq
-            name = f"{folder}/part-{task.partitionId():05d}-{seq:04d}.dac"
-            write_file(name, encode(np.array(docs), np.cumsum([len(p) for p in parts]), np.concatenate(parts)), str(task.taskAttemptId()))
+            # Every attempt has names of its own; the manifest lists those of the attempt that counted.
+            name = f"{folder}/part-{task.partitionId():05d}-{seq:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.dac"
+            write_file(name, encode(np.array(docs), np.cumsum([len(p) for p in parts]), np.concatenate(parts)))
             row = [name, seq, docs[0], len(docs), held]
             docs.clear(), parts.clear()
             held, seq = 0, seq + 1
@@ -171,7 +174,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     Returns the manifest, one row a file, with ``start``: ids in all files
     before.  Documents are range-partitioned by id, so files follow one another;
     null texts are empty; documents with equal ids lie together, ordered by
-    text; a null id sorts first and is stored as -2**63.
+    text; a null id sorts first and is stored as -2**63.  An empty table gives
+    no file.  A task that was run again leaves files that no manifest names;
+    ``sweep`` deletes them.
     """
     spark = docs.sparkSession
     store.small_batches(spark)
@@ -185,6 +190,18 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
+def sweep(folder: str, manifest: DataFrame) -> int:
+    """Delete the files of lost attempts, those that the manifest does not name; returns how many."""
+    from pyarrow import fs as pafs
+
+    fs, path = _filesystem(folder)
+    named = {os.path.basename(r["path"]) for r in manifest.select("path").toLocalIterator()}  # a name for each FILE_TOKENS ids
+    stray = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.base_name.endswith(".dac") and f.base_name not in named]
+    for f in stray:
+        fs.delete_file(f)
+    return len(stray)
+
+
 def _reader(batches) -> Iterator:
     import pyarrow as pa
 
