@@ -144,7 +144,9 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
 
     A document is its token ids and ``end_id`` (null text: ``end_id`` alone).
     Only longer ones are cut, into pieces of ``capacity``; the first is shorter.
-    ``part`` and ``nth`` number the pieces of one length within a file split.
+    ``part`` and ``nth`` number the pieces of one length within a task.  Equal
+    rows give equal pieces, each in a place of its own; null ids stay null; an
+    empty table gives no piece.
     """
     store.small_batches(docs.sparkSession)
     path = tokenizer or vocabulary_path("byte_bpe_50k.json")
@@ -153,16 +155,19 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces; other columns stay.
+    """Adds ``sequence_id`` and ``offset`` to pieces; other columns stay, but for ones of these two names.
 
     ``pieces`` needs length, part and nth as ``cut`` gives them; drop what is
-    not needed (such as ids) before the call, as rows may be shuffled.
+    not needed before the call, as rows may be shuffled: the counts before each
+    task, at most ``capacity`` rows a task, are broadcast while Spark measures
+    them below its own limit, and joined by a shuffle beyond.  Among pieces of
+    one length the order is that of tasks and rows.
     """
     per_part = store.materialize(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     made = plan(histogram, capacity)
     before = per_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("__before"))
-    columns = [c for c in pieces.columns if c not in ("part", "nth")]
+    columns = store.others(pieces, "part", "nth", "sequence_id", "offset")
     ranked = pieces.join(before, ["length", "part"]).select(*columns, (F.col("__before") + F.col("nth")).alias("__rank"))
 
     @F.pandas_udf("struct<sequence_id:bigint,offset:bigint>")

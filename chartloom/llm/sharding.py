@@ -39,12 +39,14 @@ def assign(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, stratum:
 
     Shards differ by at most one row.  Rows with a null stratum form a stratum;
     rows with equal keys stay apart but in an unspecified order between exact
-    repeats; an empty table gives an empty result.  The input is written once
-    to the shared folder: pass only the columns that are needed.
+    repeats; an empty table gives an empty result; columns named as the two
+    results are replaced.  The input is written once to the shared folder: pass
+    only the columns that are needed.
     """
     spark = rows.sparkSession
+    keep = store.others(rows, "shard", "slot")
     table = store.materialize(
-        rows.select(F.struct("*").alias("__row"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("__s"), shuffle_key(F.col(key), seed).alias("__h")), "to-shard"
+        rows.select(F.struct(*keep).alias("__row"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("__s"), shuffle_key(F.col(key), seed).alias("__h")), "to-shard"
     )
     total = table.count()
     n = _buckets(spark, total)
@@ -64,13 +66,13 @@ def assign(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, stratum:
     ordered = ranked.withColumn("__place", place).join(starts, "__c").withColumn("__pos", F.col("__start") + F.col("__place") - 1)
     shard = F.expr(f"__pos * {n_shards}L div {max(total, 1)}L")
     first = F.expr(f"(__shard * {max(total, 1)}L + {n_shards - 1}) div {n_shards}")
-    return ordered.withColumn("__shard", shard).select("__row.*", F.col("__shard").cast("int").alias("shard"), (F.col("__pos") - first).alias("slot"))
+    return ordered.withColumn("__shard", shard).select(*[F.col("__row")[c].alias(c) for c in keep], F.col("__shard").cast("int").alias("shard"), (F.col("__pos") - first).alias("slot"))
 
 
-def write_shards(docs: DataFrame, folder: str, n_shards: int = N_SHARDS, seed: int = SEED, stratum: str = "source", key: str = "doc_id") -> None:
-    """Write whole documents, a folder a shard, each in slot order."""
-    placed = assign(docs, n_shards, seed, stratum, key)
-    placed.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+def write_shards(docs: DataFrame, folder: str, n_shards: int = N_SHARDS, seed: int = SEED, stratum: str = "source", key: str = "doc_id", file_rows: int = 100_000) -> None:
+    """Write whole documents, a folder a shard, in files of up to ``file_rows`` consecutive slots (column ``part``), each in slot order."""
+    placed = assign(docs, n_shards, seed, stratum, key).withColumn("part", F.floor(F.col("slot") / file_rows).cast("int"))
+    placed.repartition("shard", "part").sortWithinPartitions("shard", "part", "slot").write.partitionBy("shard", "part").parquet(folder)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,51 @@ def test_token_counts_and_cache(spark, docs, rows, empty, tmp_path):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_token_counts_of_few_new_texts(spark, tmp_path, monkeypatch):
+    """A second run encodes the new texts only, through the sketch; a third moves no text; the space symbol is a space."""
+    cache = f"file://{tmp_path}/counts"
+    a = spark.createDataFrame([(i, f"text number {i} a b", 0) for i in range(50)] + [(50, "a\u2581b c", 0), (None, "a b c", 0)], "doc_id bigint, text string, n_bytes int")
+    first = token_counts.count_tokens(a, cache)
+    assert first.columns == ["doc_id", "n_bytes", "n_tokens"] and first.count() == 52
+    assert len({r["n_tokens"] for r in first.where("doc_id = 50 or doc_id is null").collect()}) == 1
+    stored = spark.read.parquet(cache).count()
+    assert stored == 51
+    calls = []
+    inner = token_counts._sketched
+    monkeypatch.setattr(token_counts, "_sketched", lambda d, m: calls.append(1) or inner(d, m))
+    b = a.unionByName(spark.createDataFrame([(100, "something new", 0), (101, None, 0)], a.schema))
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.vocabulary_path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(b, cache).collect()}
+    assert got == {r["doc_id"]: len(model.encode(r["text"] or "")) for r in b.collect()} and calls == [1]
+    assert spark.read.parquet(cache).count() == stored + 2
+    assert token_counts.count_tokens(b, cache).count() == 54 and calls == [1]
+
+
+def test_shards_in_files(spark, docs, tmp_path):
+    out = f"file://{tmp_path}/shards"
+    sharding.write_shards(docs.withColumn("slot", F.lit("clash")), out, 3, file_rows=4)
+    back = spark.read.parquet(out)
+    assert back.count() == docs.count() and back.groupBy("shard", "part").count().agg(F.max("count")).first()[0] <= 4
+    assert back.where("floor(slot / 4) != part").count() == 0
+
+
+def test_files_of_lost_attempts(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/files"
+    manifest = token_files.write_tokens(docs, folder, file_tokens=5000)
+    before = token_files.read_tokens(manifest).count()
+    token_files.write_file(f"{folder}/part-00000-0000-9-lost.dac", b"partial")
+    assert token_files.sweep(folder, manifest) == 1 and token_files.sweep(folder, manifest) == 0
+    assert token_files.read_tokens(manifest).count() == before
+
+
+def test_packing_clashes(spark):
+    pieces = packing.cut(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], "doc_id bigint, text string"))
+    out = packing.pack(pieces.withColumn("offset", F.lit("x")).withColumn("sequence_id", F.lit("x")))
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"] and {r["offset"] for r in out.collect()} == {0, 4, 8}
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
