@@ -53,6 +53,16 @@ def vocabulary_digest(path: str) -> str:
 CACHE_BYTES = 64 << 20
 
 
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _first_words(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of each chunk as two numbers, zero beyond its end."""
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    word = np.ndarray((len(data) + 16,), "<u8", padded, strides=(1,))
+    return word[starts] & _MASK[np.minimum(size, 8)], word[starts + 8 * (size > 8)] & _MASK[np.clip(size - 8, 0, 8)]
+
+
 class _Chunked:
     def __init__(self, bits: int = 22) -> None:
         self.index = HashIndex(bits)
@@ -62,6 +72,7 @@ class _Chunked:
         self.index.clear()
         self.bytes = np.zeros(1 << 16, np.uint8)
         self.from_ = np.zeros(self.index.capacity + 1, np.int64)  # where each chunk begins in bytes
+        self.head = np.zeros((2, self.index.capacity + 1), np.uint64)  # its first 16 bytes
 
     def _chunks(self, data, offsets):
         """Start, end and row of the chunks."""
@@ -79,6 +90,7 @@ class _Chunked:
         n = self.index.n
         stop = self.from_[n] + np.cumsum(ends - starts)
         self.from_[n + 1 : n + 1 + len(pieces)] = stop
+        self.head[:, n : n + len(pieces)] = _first_words(data, starts, ends - starts)
         if stop[-1] > len(self.bytes):
             self.bytes = np.resize(self.bytes, int(stop[-1]) * 2)
         self.bytes[self.from_[n] : stop[-1]] = np.frombuffer(b"".join(pieces), np.uint8)
@@ -86,8 +98,9 @@ class _Chunked:
     def _differ(self, data, starts, ends, at) -> np.ndarray:
         """Which chunks' bytes are not those of the entries found for them."""
         size, kept = ends - starts, self.from_[at + 1] - self.from_[at]
-        wrong = size != kept
-        same = np.flatnonzero(~wrong)
+        one, two = _first_words(data, starts, size)
+        wrong = (size != kept) | (one != self.head[0][at]) | (two != self.head[1][at])
+        same = np.flatnonzero(~wrong & (size > 16))
         size = size[same]
         unlike = data[spread(starts[same], size)] != self.bytes[spread(self.from_[at[same]], size)]
         if unlike.any():
