@@ -12,17 +12,17 @@ from chartloom.operators import gates
 from chartloom.sources.tables import table
 
 
-def asked(spark, d, whole: bool = False):
+def asked(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("response"))
-    return base_queries(spark, d, whole=whole).join(b, "query_id")
+    return base_queries(spark, d).join(b, "query_id")
 
 
-def evidence(spark, d, whole: bool = False):
+def evidence(spark, d):
     v = vectors(spark, d).select(F.col("chunk_id").alias("doc_id"), "embedding")
-    return _hits(spark, d, whole).join(v, "doc_id", "left")
+    return _hits(spark, d).join(v, "doc_id", "left")
 
 
-_Q = _HITS + ", r AS (SELECT item_id AS query_id, text AS response FROM benchmark WHERE item_id < 20), al AS (SELECT query_id, string_agg(content, ' ' ORDER BY rank) AS t FROM hits GROUP BY 1)"
+_Q = _HITS + ", r AS (SELECT item_id AS query_id, text AS response FROM benchmark), al AS (SELECT query_id, string_agg(content, ' ' ORDER BY rank) AS t FROM hits GROUP BY 1)"
 _ALL = "coalesce(t, '')"
 _EV = ", ".join(quoted(w) for w in T.EVIDENCE_STOP_WORDS)
 
@@ -68,7 +68,7 @@ def contradiction_sweep(spark, d):
 
 @query("gate_contradiction")
 def gate_contradiction(spark, d):
-    return gates.contradiction_sweep(asked(spark, d, True), evidence(spark, d, True))
+    return gates.contradiction_sweep(asked(spark, d), evidence(spark, d))
 
 
 @query(
@@ -83,7 +83,7 @@ def gate_semantic_grounding(spark, d):
 
 @query("gate_quote_faithfulness")
 def gate_quote_faithfulness(spark, d):
-    return gates.quote_faithfulness(asked(spark, d, True), evidence(spark, d, True).withColumn("source_type", F.lit("medication")))
+    return gates.quote_faithfulness(asked(spark, d), evidence(spark, d).withColumn("source_type", F.lit("medication")))
 
 
 _GRAMS = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda x: length(x) >= 2) AS w FROM documents),
@@ -105,7 +105,7 @@ def gate_generation_quality(spark, d):
 
 @query("gate_answer_completeness")
 def gate_answer_completeness(spark, d):
-    return gates.answer_completeness(asked(spark, d, True), evidence(spark, d, True))
+    return gates.answer_completeness(asked(spark, d), evidence(spark, d))
 
 
 @query("gate_patient_isolation", f"{_Q} SELECT query_id, count(DISTINCT source) <= 1 AS passed FROM r LEFT JOIN (SELECT query_id, source FROM hits JOIN (SELECT doc_id, source FROM documents) USING (doc_id)) USING (query_id) GROUP BY 1")
@@ -115,4 +115,4 @@ def gate_patient_isolation(spark, d):
 
 @query("all_gates")
 def all_gates(spark, d):
-    return gates.verify(asked(spark, d, True), evidence(spark, d, True))
+    return gates.verify(asked(spark, d), evidence(spark, d))

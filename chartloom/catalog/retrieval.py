@@ -1,9 +1,7 @@
 """Indexes, hybrid search and what follows it, over documents, embeddings and benchmark.
 
 A document is a chunk (source = patient, lang = category); a benchmark item is
-a query of its text with the vector of the same number.  The SQL given for a
-query asks the first 60 characters of the items below N_QUERIES, and the query
-does the same; queries without SQL ask the whole text of every item.
+a query of its whole text with the vector of the same number; every item is asked.
 """
 
 from __future__ import annotations
@@ -18,7 +16,6 @@ from chartloom.operators import fulltext, hybrid, postprocess, vector_index
 from chartloom.plans import retrieval
 from chartloom.sources.tables import table
 
-N_QUERIES = 20
 SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -35,10 +32,8 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("src"), F.col("label").cast("string")).alias("scope"))
 
 
-def queries(spark, d, scoped: bool = False, whole: bool = False):
+def queries(spark, d, scoped: bool = False):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    if not whole:
-        b = b.where(F.col("query_id") < N_QUERIES).withColumn("text", F.left("text", F.lit(60)))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     out = b.join(v, "query_id", "left")
     return out.withColumn("scope", F.concat(F.lit("src"), (F.col("query_id") % 10).cast("string"))) if scoped else out
@@ -52,7 +47,7 @@ def _bm25(scoped: bool, k: int) -> str:
     return f"""tok AS (SELECT doc_id, source, unnest(list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda x: x <> '')) AS term FROM documents),
     tf AS (SELECT doc_id, term, 2.0::DOUBLE * count(*) AS f FROM tok GROUP BY 1, 2), dl AS (SELECT d.doc_id, d.source, coalesce(n, 0) AS len FROM documents d LEFT JOIN (SELECT doc_id, count(*) n FROM tok GROUP BY 1) USING (doc_id)),
     st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl), dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-    qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(left(text, 60)), '{SPLIT}'), lambda x: length(x) > 2)) AS term FROM benchmark WHERE item_id < {N_QUERIES}) GROUP BY 1, 2),
+    qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda x: length(x) > 2)) AS term FROM benchmark) GROUP BY 1, 2),
     nt AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY 1),
     hit AS (SELECT query_id, doc_id, source, times * (CASE WHEN ln((st.n - df + 0.5) / (df + 0.5)) > 0 THEN ln((st.n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len / avgdl)) AS s FROM qt JOIN tf USING (term) JOIN dfr USING (term) JOIN dl USING (doc_id), st),
     sc AS (SELECT query_id, doc_id, round(-sum(s), 6) AS score, count(*) AS matched FROM hit {"WHERE source = 'src' || (query_id % 10)" if scoped else ""} GROUP BY 1, 2),
@@ -62,7 +57,7 @@ def _bm25(scoped: bool, k: int) -> str:
 
 def _knn(scoped: bool, k: int) -> str:
     return f"""kn AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id < {N_QUERIES}) {"AND e.label = q.vec_id % 10" if scoped else ""})) WHERE rank <= {k})"""
+    FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) {"AND e.label = q.vec_id % 10" if scoped else ""})) WHERE rank <= {k})"""
 
 
 def _rrf(k: int) -> str:
@@ -83,7 +78,7 @@ def token_df_top(spark, d):
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(50)
 
 
-@query("query_tokens", f"SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(left(text, 60)), '{SPLIT}'), lambda x: length(x) > 2), ' ') AS terms FROM benchmark WHERE item_id < {N_QUERIES}")
+@query("query_tokens", f"SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda x: length(x) > 2), ' ') AS terms FROM benchmark")
 def query_tokens(spark, d):
     return queries(spark, d).select("query_id", F.array_join(T.search_tokens(F.col("text")), " ").alias("terms"))
 
@@ -106,7 +101,7 @@ def bm25_scoped(spark, d):
 @query("bm25_stemmed")
 def bm25_stemmed(spark, d):
     """Stemmed, accent-free, over all four fields."""
-    return _ranked(fulltext.search(index(spark, d, dict(retrieval.SETTINGS.field_weights), True), queries(spark, d, whole=True), 10, 6))
+    return _ranked(fulltext.search(index(spark, d, dict(retrieval.SETTINGS.field_weights), True), queries(spark, d), 10, 6))
 
 
 @query("vector_topk", f"WITH {_knn(False, 10)} {_RANKED} kn")
@@ -150,11 +145,11 @@ def rrf_fusion(spark, d):
     return _ranked(hybrid.fuse(v, t, 10, 6))
 
 
-_HITS = f"WITH {_bm25(False, 10)}, hits AS (SELECT query_id, doc_id, -score AS score, text AS content, rank FROM bm JOIN documents USING (doc_id)), q AS (SELECT item_id AS query_id, left(text, 60) AS text FROM benchmark WHERE item_id < {N_QUERIES})"
+_HITS = f"WITH {_bm25(False, 10)}, hits AS (SELECT query_id, doc_id, -score AS score, text AS content, rank FROM bm JOIN documents USING (doc_id)), q AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
-def _hits(spark, d, whole: bool = False):
-    h = fulltext.search(index(spark, d), queries(spark, d, whole=whole), 10, 6)
+def _hits(spark, d):
+    h = fulltext.search(index(spark, d), queries(spark, d), 10, 6)
     return h.join(chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), "doc_id").withColumn("score", -F.col("score"))
 
 
@@ -241,12 +236,12 @@ def assembled_context(spark, d):
 
 @query("dedup_jaccard")
 def dedup_jaccard(spark, d):
-    return postprocess.deduplicate(_hits(spark, d, whole=True).select("query_id", "doc_id", "content", "rank")).select("query_id", "doc_id", "rank")
+    return postprocess.deduplicate(_hits(spark, d).select("query_id", "doc_id", "content", "rank")).select("query_id", "doc_id", "rank")
 
 
 @query("mmr_select")
 def mmr_select(spark, d):
-    h = _hits(spark, d, whole=True).select("query_id", "doc_id", "score", "rank").join(vectors(spark, d).select(F.col("chunk_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    h = _hits(spark, d).select("query_id", "doc_id", "score", "rank").join(vectors(spark, d).select(F.col("chunk_id").alias("doc_id"), "embedding"), "doc_id", "left")
     return postprocess.diversify(h, 5).select("query_id", "doc_id", "rank")
 
 
@@ -259,7 +254,7 @@ def corpus(spark, d):
 
 @query("hybrid_search")
 def hybrid_search(spark, d):
-    return _ranked(retrieval.search(corpus(spark, d), queries(spark, d, whole=True), 10, digits=6)).withColumn("score", F.round("score", 6))
+    return _ranked(retrieval.search(corpus(spark, d), queries(spark, d), 10, digits=6)).withColumn("score", F.round("score", 6))
 
 
 @query("hybrid_plain", f"WITH {_bm25(False, 20)}, {_knn(False, 20)}, {_rrf(10)} SELECT query_id, doc_id, score, n AS rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM rrf WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id IN (SELECT vec_id FROM embeddings)) WHERE n <= 10")
@@ -270,12 +265,12 @@ def hybrid_plain(spark, d):
 
 @query("single_pass_query")
 def single_pass_query(spark, d):
-    return retrieval.ask(corpus(spark, d), queries(spark, d, whole=True), AS_OF)[1]
+    return retrieval.ask(corpus(spark, d), queries(spark, d), AS_OF)[1]
 
 
 @query("verified_query")
 def verified_query(spark, d):
-    return retrieval.ask_verified(corpus(spark, d), queries(spark, d, whole=True), AS_OF)[2]
+    return retrieval.ask_verified(corpus(spark, d), queries(spark, d), AS_OF)[2]
 
 
 @query("follow_up_queries", f"{_HITS}, f AS (SELECT DISTINCT query_id, term FROM hits JOIN q USING (query_id), (SELECT unnest([{', '.join(quoted(t) for t in retrieval.FOLLOW_UP_TERMS)}]) AS term) WHERE contains(lower(content), term) AND NOT contains(lower(q.text), term)) SELECT query_id, term AS text FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY term) <= 3")
@@ -285,7 +280,7 @@ def follow_up_queries(spark, d):
 
 @query("deep_think")
 def deep_think(spark, d):
-    return retrieval.deep_think(corpus(spark, d), queries(spark, d, whole=True), AS_OF)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+    return retrieval.deep_think(corpus(spark, d), queries(spark, d), AS_OF)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
 
 
 @query("source_summaries", f"{_HITS} SELECT query_id, doc_id, left(content, 150) AS preview FROM hits")
@@ -309,12 +304,13 @@ def word_vectors(spark, d):
     return out.select("chunk_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query("mean_pooling", "SELECT label, pos - 1 AS pos, round(m / greatest(n, 1e-9), 6) AS x FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY label)) AS n FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings WHERE vec_id % 3 = 0 AND vec_id < 60) GROUP BY 1, 2))")
+@query("mean_pooling", "SELECT text_id, pos - 1 AS pos, round(m / greatest(n, 1e-9), 6) AS x FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY text_id)) AS n FROM (SELECT text_id, pos, avg(x) AS m FROM (SELECT vec_id // 16 AS text_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings WHERE vec_id % 3 = 0) GROUP BY 1, 2))")
 def mean_pooling(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 60")
-    g = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
-    g = g.select("label", F.transform("t", lambda x: x["embedding"]).alias("v"), F.transform("t", lambda x: (x["vec_id"] % 3 == 0).cast("int")).alias("m")).where(F.exists("m", lambda x: x == 1))
-    return g.select("label", F.posexplode(V.mean_pooled(F.col("v"), F.col("m"))).alias("pos", "x")).select("label", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
+    """Sixteen vectors that follow one another are the tokens of a text; every third counts, the others are masked."""
+    e = table(spark, d, "embeddings").withColumn("text_id", F.floor(F.col("vec_id") / 16))
+    g = e.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))  # 16 rows a group
+    g = g.select("text_id", F.transform("t", lambda x: x["embedding"]).alias("v"), F.transform("t", lambda x: (x["vec_id"] % 3 == 0).cast("int")).alias("m")).where(F.exists("m", lambda x: x == 1))
+    return g.select("text_id", F.posexplode(V.mean_pooled(F.col("v"), F.col("m"))).alias("pos", "x")).select("text_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
 def flagship(spark, d):

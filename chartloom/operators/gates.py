@@ -10,7 +10,7 @@ the caller's choice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import SEPARATOR, any_contains, evidence_terms
@@ -98,26 +98,30 @@ def quote_faithfulness(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return _per_query(queries, names, F.when(F.col("__names").isNull(), True).otherwise(F.size(F.array_except(words, F.coalesce("__names", F.array().cast("array<string>")))) == 0))
 
 
-def ngram_stats(texts: DataFrame, key: str = "query_id", text: str = "response") -> DataFrame:
-    """Per text: words of two characters or more, bigram entropy, unique ratio, commonest trigram (AGG-11)."""
-    words = texts.select(key, F.filter(F.split(F.lower(text), SEPARATOR), lambda w: F.length(w) >= 2).alias("w"))
-    base = words.select(key, F.size("w").alias("n_words"), (F.size(F.array_distinct("w")) / F.greatest(F.size("w"), F.lit(1))).alias("unique_ratio"))
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def grams(n):
-        each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
-        return words.where(F.size("w") >= n).select(key, F.explode(each).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("c"))
 
-    total = F.sum("c").over(_by(key))
-    share = F.col("c") / total
-    entropy = grams(2).select(key, (-share * F.log2(share)).alias("e")).groupBy(key).agg(F.sum("e").alias("bigram_entropy"))
-    top = grams(3).groupBy(key).agg(F.max("c").alias("top_trigram"))
-    return base.join(entropy, key, "left").join(top, key, "left")
+def _gram_counts(words: Column, n: int) -> Column:
+    """How often each distinct n-gram of a word array occurs: lengths of the runs in the sorted 64-bit hashes; nothing leaves the row."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
 
+    def runs(h):
+        starts = F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda s: F.transform(s, lambda p, i: F.coalesce(F.get(s, i + 1), F.size(h)) - p))
 
-def _by(key):
+    return F.when(F.size(words) >= n, _let(F.sort_array(hashes), runs))
 
 
-    return Window.partitionBy(key)
+def ngram_stats(texts: DataFrame, key: str = "query_id", text: str = "response") -> DataFrame:
+    """Per text: words of two characters or more, bigram entropy, unique ratio, commonest trigram (AGG-11)."""
+    words = texts.select(key, F.filter(F.split(F.lower(text), SEPARATOR), lambda w: F.length(w) >= 2).alias("w"))
+    counts = words.select(key, F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("__unique"), _gram_counts(F.col("w"), 2).alias("__two"), F.array_max(_gram_counts(F.col("w"), 3)).cast("bigint").alias("top_trigram"))
+    # The entropy of counts c with sum T: log2 T - sum(c log2 c) / T.
+    total = F.greatest(F.col("n_words") - 1, F.lit(1))
+    own = F.aggregate(F.transform("__two", lambda c: c * F.log2(c.cast("double"))), F.lit(0.0), lambda a, b: a + b)
+    entropy = F.when(F.col("__two").isNotNull(), F.log2(total.cast("double")) - own / total)
+    return counts.select(key, "n_words", (F.col("__unique") / F.greatest("n_words", F.lit(1))).alias("unique_ratio"), entropy.alias("bigram_entropy"), "top_trigram")
 
 
 def generation_quality(queries: DataFrame, hits: DataFrame | None = None) -> DataFrame:

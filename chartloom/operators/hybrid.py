@@ -41,19 +41,23 @@ def keyword_boost(hits: DataFrame, queries: DataFrame) -> DataFrame:
     at word boundaries counts twice.
     """
     s = SETTINGS
-    words = queries.select("query_id", F.explode(keywords(F.col("text"))).alias("word"))
+    asked = queries.select("query_id", keywords(F.col("text")).alias("__words"))
     low = F.lower("content")
-    pairs = hits.select("query_id", "doc_id", low.alias("low")).join(words, "query_id")
-    w = F.col("word")
-    text = F.col("low")
-    hit = text.contains(w)
-    spaced = F.concat(F.lit(" "), w)
-    bounded = text.contains(F.concat(spaced, F.lit(" "))) | text.contains(F.concat(spaced, F.lit("."))) | text.contains(F.concat(spaced, F.lit(","))) | text.startswith(F.concat(w, F.lit(" "))) | text.endswith(spaced)
-    rate = F.avg(hit.cast("double")).over(Window.partitionBy("query_id", "word"))
-    scale = F.greatest(F.lit(0.0), 1 - rate / s.keyword_decay)
-    points = F.when(hit, scale + F.when(bounded, scale).otherwise(0.0)).otherwise(0.0)
-    boost = pairs.select("query_id", "doc_id", points.alias("p")).groupBy("query_id", "doc_id").agg(F.least(F.lit(s.keyword_cap), s.keyword_step * F.sum("p")).alias("boost"))
-    return hits.join(boost, ["query_id", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0))).drop("boost")
+
+    def match(w):
+        """0, 1 or 2: absent, within a word, between boundaries."""
+        spaced = F.concat(F.lit(" "), w)
+        bounded = low.contains(F.concat(spaced, F.lit(" "))) | low.contains(F.concat(spaced, F.lit("."))) | low.contains(F.concat(spaced, F.lit(","))) | low.startswith(F.concat(w, F.lit(" "))) | low.endswith(spaced)
+        return F.when(low.contains(w), F.when(bounded, 2).otherwise(1)).otherwise(0)
+
+    words = F.coalesce("__words", F.array().cast("array<string>"))
+    rows = hits.join(asked, "query_id", "left").withColumn("__match", F.transform(words, match))
+    # The candidates of a query meet once, with one number a keyword; the hits are not computed again.
+    rows = rows.withColumn("__all", F.collect_list("__match").over(Window.partitionBy("query_id")))
+    rate = lambda i: F.aggregate("__all", F.lit(0), lambda n, m: n + F.least(F.get(m, i), F.lit(1))) / F.size("__all")
+    points = F.transform("__match", lambda m, i: F.when(m > 0, F.greatest(F.lit(0.0), 1 - rate(i) / s.keyword_decay) * m).otherwise(0.0))
+    boost = F.least(F.lit(s.keyword_cap), s.keyword_step * F.aggregate(points, F.lit(0.0), lambda a, b: a + b))
+    return rows.withColumn("score", F.col("score") + boost).drop("__words", "__match", "__all")
 
 
 def is_spec_query(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,11 +80,12 @@ def follow_ups(hits: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame
     return found.distinct().withColumn("__n", rank).where(F.col("__n") <= limit).drop("__n")
 
 
-def deep_think(corpus: Corpus, queries: DataFrame, as_of: str, passes: int = SETTINGS.passes) -> tuple[DataFrame, DataFrame]:
+def deep_think(corpus: Corpus, queries: DataFrame, as_of: str, passes: int = SETTINGS.passes, provider: vector_index.Provider | None = None) -> tuple[DataFrame, DataFrame]:
     """(used hits, contexts) of bounded multi-pass retrieval (RET-16).
 
     Each pass searches with the follow-ups of all that was found; an empty list
-    makes later passes no-ops.  Lineage is cut between passes by checkpoints in
+    makes later passes no-ops.  Follow-ups get vectors from the ``provider``;
+    without one they are searched by text alone.  Lineage is cut between passes by checkpoints in
     the session's checkpoint folder: a few rows a query.
     """
     ensure_checkpoint_dir(queries.sparkSession)
@@ -93,13 +95,20 @@ def deep_think(corpus: Corpus, queries: DataFrame, as_of: str, passes: int = SET
         # A pass's queries keep the original id; they differ in text, so each gets a part number.
         numbered = current.withColumn("__part", F.row_number().over(Window.partitionBy("query_id").orderBy("text")))
         keyed = numbered.withColumn("__key", F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("__part").cast("string")))
-        hits = search(corpus, keyed.drop("query_id").withColumnRenamed("__key", "query_id"), SETTINGS.multi_pass_top_k, use_vectors=number == 0)
+        hits = search(corpus, keyed.drop("query_id").withColumnRenamed("__key", "query_id"), SETTINGS.multi_pass_top_k, use_vectors=number == 0 or provider is not None)
         hits = hits.withColumnRenamed("query_id", "__key").join(keyed.select("__key", "query_id", "__part"), "__key").drop("__key").withColumn("__pass", F.lit(number))
         everything = hits if everything is None else everything.unionByName(hits)
         everything = everything.checkpoint()
         if number + 1 < passes:
             extra = follow_ups(everything, base)
-            current = extra.join(base.drop("text"), "query_id").withColumn("embedding", F.lit(None).cast(base.schema["embedding"].dataType)).select(base.columns).checkpoint()
+            kind = base.schema["embedding"].dataType
+            current = extra.join(base.drop("text", "embedding"), "query_id")
+            if provider is None:
+                current = current.withColumn("embedding", F.lit(None).cast(kind))
+            else:
+                vectors = provider.embed(current.select(F.col("text").alias("chunk_id"), F.col("text").alias("content")).distinct())
+                current = current.join(vectors.select(F.col("chunk_id").alias("text"), F.col("embedding").cast(kind).alias("embedding")), "text", "left")
+            current = current.select(base.columns).checkpoint()
             if current.isEmpty():
                 break
     first = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("__pass", "__part", "rank"))
@@ -109,9 +118,12 @@ def deep_think(corpus: Corpus, queries: DataFrame, as_of: str, passes: int = SET
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's own checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's own checkpoint folder; a temporary one only for a local session without one (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chartloom-"))
 
 
 def summaries(hits: DataFrame) -> DataFrame:
@@ -124,14 +136,53 @@ def mentions(text, words=FOLLOW_UP_TERMS):
     return any_contains(F.lower(text), words)
 
 
-def reindex(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, path: str) -> Corpus:
-    """Write chunks, vectors and text index as one new version folder and open it (ING-13, SRC-12)."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    stored = spark.read.parquet(f"{path}/chunks")
-    fulltext.build(stored).save(f"{path}/text")
+_SIGNPOST = "current"
+
+
+def reindex(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, path: str, fields: dict[str, float] | None = None, stem: bool = False) -> Corpus:
+    """Write chunks, vectors and text index as one new version folder and open it (ING-13, SRC-12).
+
+    Readers go by the signpost, one small table that is replaced last: they see
+    the old version until all of the new one is there.  Old versions stay until
+    ``drop_versions``, so that running searches end undisturbed.
+    """
+    version = f"version-{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{path}/{version}/chunks")
+    vectors.write.parquet(f"{path}/{version}/vectors")
+    stored = spark.read.parquet(f"{path}/{version}/chunks")
+    fulltext.build(stored, fields, stem=stem).save(f"{path}/{version}/text")
+    spark.createDataFrame([(version, stem)], "version string, stem boolean").coalesce(1).write.parquet(f"{path}/{_SIGNPOST}.next")
+    _replace(spark, f"{path}/{_SIGNPOST}.next", f"{path}/{_SIGNPOST}")
     return open_index(spark, path)
 
 
+def _replace(spark: SparkSession, source: str, target: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    a, b = hadoop.Path(source), hadoop.Path(target)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(b, True)
+    if not fs.rename(a, b):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def _current(spark: SparkSession, path: str):
+    return spark.read.parquet(f"{path}/{_SIGNPOST}").first()  # one row
+
+
 def open_index(spark: SparkSession, path: str) -> Corpus:
-    return Corpus(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), fulltext.TextIndex.load(spark, f"{path}/text"))
+    """The version that the signpost names, stemmed as it was built."""
+    at = _current(spark, path)
+    folder = f"{path}/{at['version']}"
+    return Corpus(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/vectors"), fulltext.TextIndex.load(spark, f"{folder}/text", at["stem"]))
+
+
+def drop_versions(spark: SparkSession, path: str) -> int:
+    """Delete all versions but the current one; returns how many."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = _current(spark, path)["version"]
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("version-") and f.getPath().getName() != kept]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)

@@ -18,4 +18,4 @@ def test_every_item_is_asked(spark, name):
 
 def test_texts_are_whole(spark):
     want = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    assert {r["query_id"]: r["text"] for r in retrieval.queries(spark, SF, whole=True).collect()} == want
+    assert {r["query_id"]: r["text"] for r in retrieval.queries(spark, SF).collect()} == want
