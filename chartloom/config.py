@@ -31,6 +31,7 @@ class Settings:
     dedup_min_words: int = 5
     mmr_lambda: float = 0.7
     window_tokens: int = 4096
+    large_prompt_tokens: int = 4000
     system_tokens: int = 400
     query_tokens: int = 100
     output_tokens: int = 800

@@ -100,15 +100,21 @@ def appointments(resources: DataFrame, base: str, as_of: str, patient_id: str, s
 def match_patients(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """(incoming_id, stored_id) by source id and system, or by record number and its system (JON-06).
 
-    Two equi-joins and a distinct instead of one join on an OR.
+    Two equi-joins and a distinct instead of one join on an OR.  Rows without
+    any source match one another; as no key tells them apart, the first two
+    stored ones stand for all: one is a match, two make it ambiguous.
     """
     pick = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("patient_id", "source_record_identifier", "source_system_name", "medical_record_number", "medical_record_number_system")])
     a, b = pick(stored, "s_"), pick(incoming, "i_")
-    by_source = a.join(b, F.col("s_source_record_identifier").eqNullSafe(F.col("i_source_record_identifier")) & F.col("s_source_system_name").eqNullSafe(F.col("i_source_system_name")))
+    sourceless = lambda p: F.col(p + "source_record_identifier").isNull() & F.col(p + "source_system_name").isNull()
+    first = a.where(sourceless("s_")).agg(F.min("s_patient_id").alias("one"), F.max("s_patient_id").alias("two"))
+    first = first.select(F.explode(F.array_distinct(F.array_compact(F.array("one", "two")))).alias("s_patient_id"))  # two rows at most
+    without = b.where(sourceless("i_")).join(F.broadcast(first))
+    by_source = a.where(~sourceless("s_")).join(b.where(~sourceless("i_")), F.col("s_source_record_identifier").eqNullSafe(F.col("i_source_record_identifier")) & F.col("s_source_system_name").eqNullSafe(F.col("i_source_system_name")))
     number = (F.col("s_medical_record_number") == F.col("i_medical_record_number")) & (F.col("s_medical_record_number_system") == F.col("i_medical_record_number_system"))
     by_number = a.where("s_medical_record_number != '' and s_medical_record_number_system != ''").join(b, number)
     ids = [F.col("i_patient_id").alias("incoming_id"), F.col("s_patient_id").alias("stored_id")]
-    return by_source.select(*ids).union(by_number.select(*ids)).distinct()
+    return by_source.select(*ids).union(by_number.select(*ids)).union(without.select(*ids)).distinct()
 
 
 def upsert_patients(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -80,6 +80,12 @@ def compact_lines(intent: str, patients: DataFrame, records: DataFrame, medicati
     )
 
 
+def model_for(prompt: Column, large_available: Column | None = None, bound: int = SETTINGS.large_prompt_tokens) -> Column:
+    """Which model a prompt goes to: the large one beyond the bound where it is available, else the local one (RTR-09)."""
+    large = estimate_tokens(prompt) > bound
+    return F.when(large if large_available is None else large & large_available, "large").otherwise("local")
+
+
 def available_tokens(system: Column, question: Column, context: Column, window: int = SETTINGS.window_tokens) -> Column:
     """Tokens left for panel lines (RTR-04)."""
     s = SETTINGS

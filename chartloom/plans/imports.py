@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def import_patient(stored: dict[str, DataFrame], resources: dict[str, DataFrame]
 
     ``stored`` has patient, record, medication and appointment; ``resources``
     has one frame per resource type.  A missing or ambiguous patient is fatal;
-    a missing child type only imports nothing.
+    a missing or unreadable child type imports nothing and is a warning.
     """
     adapted = ingest.patients(resources["Patient"], base, as_of)
     if adapted.isEmpty():
@@ -37,8 +38,14 @@ def import_patient(stored: dict[str, DataFrame], resources: dict[str, DataFrame]
             out[entity], counts[entity] = stored[entity], 0
             warnings.append(f"{kind}: no resources")
             continue
-        out[entity], n = ingest.sync(stored[entity], adapt(resources[kind], base, as_of, row["id"]), key, updates)
-        n = n.first()
+        try:
+            merged_rows, n = ingest.sync(stored[entity], adapt(resources[kind], base, as_of, row["id"]), key, updates)
+            n = n.first()
+        except PySparkException as e:  # a feed that cannot be read or has another shape
+            out[entity], counts[entity] = stored[entity], 0
+            warnings.append(f"{kind}: {type(e).__name__}")
+            continue
+        out[entity] = merged_rows
         counts[entity] = n["inserted"]
         if n["duplicates"]:
             warnings.append(f"{kind}: {n['duplicates']} repeated ids")
