@@ -30,7 +30,7 @@ def _version(path: str) -> str:
 
 
 def normalised(text_column: str):
-    return F.translate(store.text_of(text_column), "\u2581", " ")
+    return F.replace(store.text_of(text_column), F.lit("\u2581"), F.lit(" "))
 
 
 def _sketched(docs: DataFrame, missing: DataFrame) -> DataFrame:
