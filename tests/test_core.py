@@ -385,3 +385,50 @@ def test_postprocess_of_given_hits(spark):
     q = spark.createDataFrame([("q", "word3 tail")], "query_id string, text string")
     used = postprocess.process(h.withColumn("contextual_prefix", F.lit("")), q, AS_OF, 4).orderBy("position").collect()
     assert len(used) == 4 and sorted(r["position"] for r in used) == [0, 1, 2, 3]
+
+
+def greedy(sizes, limit):
+    """Lengths of greedy runs."""
+    runs, total = [], 0
+    for s in sizes:
+        if runs and total + s <= limit:
+            runs[-1] += 1
+            total += s
+        else:
+            runs.append(1)
+            total = s
+    return runs
+
+
+def test_medication_and_all_chunks(spark):
+    from chartloom.catalog import layout
+    from chartloom.operators import chunking, complexity
+
+    meds = layout.load(spark, SF, "medication")
+    lines = meds.select("patient_id", "written_date", "rx_id", chunking.medication_line(meds.columns).alias("line")).collect()
+    by = {}
+    for r in sorted(lines, key=lambda r: (r["written_date"], r["rx_id"]), reverse=True):
+        by.setdefault(r["patient_id"], []).append(r["line"])
+    texts = spark.createDataFrame([(p, "\n".join(x)) for p, x in by.items()], "patient_id string, content string")
+    limit = {r["patient_id"]: r["chunk_words"] for r in complexity.analyze(texts, "content").collect()}
+    got = {}
+    for r in catalog.QUERIES["medication_chunks"](spark, SF).collect():
+        got.setdefault(str(r["patient_id"]), {})[r["chunk_index"]] = (r["content"], r["word_count"])
+    words = lambda t: len([w for w in t.split(" ") if w])
+    assert set(got) <= {str(p) for p in by}
+    for p, x in by.items():
+        if str(p) not in got:
+            continue
+        whole = words("\n".join(x))
+        runs = [len(x)] if whole <= limit[str(p)] else greedy([words(t) for t in x], limit[str(p)])
+        want, at = [], 0
+        for n in runs:
+            part = x[at : at + n]
+            want.append(("\n".join(part), whole if len(runs) == 1 and whole <= limit[str(p)] else sum(map(words, part))))
+            at += n
+        assert [got[str(p)][k] for k in sorted(got[str(p)])] == want
+    every = catalog.QUERIES["all_chunks"](spark, SF)
+    kinds = {r["source_type"]: r["count"] for r in every.groupBy("source_type").count().collect()}
+    assert kinds["medication"] == sum(len(x) for x in got.values()) and len(kinds) == 4
+    assert kinds["appointment"] == catalog.QUERIES["appointment_chunks"](spark, SF).count() and kinds["clinicalRecord"] == catalog.QUERIES["record_chunks"](spark, SF).agg(F.sum("chunks")).first()[0]
+    assert every.select("chunk_id").distinct().count() == every.count()
