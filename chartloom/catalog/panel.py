@@ -89,7 +89,7 @@ query(
 
 @query("batched_lines")
 def batched_lines(spark, d):
-    """Greedy batches of a clinician's panel; rows checked in the tests."""
+    """Greedy batches of a clinician's panel; the packing is checked in the tests."""
     p = load(spark, d, "patient")
     lines = intent.compact_lines("demographics", *[load(spark, d, n) for n in ENTITIES], AS_OF).join(p.select("patient_id", F.coalesce("primary_clinician", F.lit("")).alias("clinician")), "patient_id")
     return intent.batch_lines(lines, 1000, "clinician").groupBy("clinician", "batch").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line") + 1).alias("chars"))

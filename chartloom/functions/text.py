@@ -10,29 +10,29 @@ SEPARATOR = r"[^\p{L}\p{M}\p{N}]+"
 
 #: Words that carry no search intent.
 KEYWORD_STOP_WORDS = (
-    "the a an is are was were be been being "
-    "have has had do does did will would could should "
-    "may might must shall can need dare ought used "
-    "to of in for on with at by from as into "
-    "through during before after above below between "
-    "this that these those what which who whom whose "
-    "where when why how all each every both few "
-    "more most other some such no nor not only "
-    "own same so than too very just also now "
-    "i me my myself we our ours ourselves you your "
-    "he him his she her it its they them their "
-    "type kind sort take use get find "
-    "tell know look want like make put give help "
-    "work come thing about much many way long "
-    "patient record clinic health care"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "must", "shall", "can", "need", "dare", "ought", "used",
+    "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into",
+    "through", "during", "before", "after", "above", "below", "between",
+    "this", "that", "these", "those", "what", "which", "who", "whom", "whose",
+    "where", "when", "why", "how", "all", "each", "every", "both", "few",
+    "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+    "own", "same", "so", "than", "too", "very", "just", "also", "now",
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your",
+    "he", "him", "his", "she", "her", "it", "its", "they", "them", "their",
+    "type", "kind", "sort", "take", "use", "get", "find",
+    "tell", "know", "look", "want", "like", "make", "put", "give", "help",
+    "work", "come", "thing", "about", "much", "many", "way", "long",
+    "patient", "record", "clinic", "health", "care",
+)
 
 #: Words that are no evidence.
 EVIDENCE_STOP_WORDS = (
-    "the is are was were has have had for and but "
-    "not this that with from they been will can may "
-    "should would could also any its all each both"
-).split()
+    "the", "is", "are", "was", "were", "has", "have", "had", "for", "and", "but",
+    "not", "this", "that", "with", "from", "they", "been", "will", "can", "may",
+    "should", "would", "could", "also", "any", "its", "all", "each", "both",
+)
 
 
 def words(text: Column) -> Column:
