@@ -8,7 +8,7 @@ from chartloom.catalog.registry import AS_OF, query
 from chartloom.functions import text as T
 from chartloom.operators import chunking, complexity, labels
 from chartloom.sources.clinic import load
-from chartloom.sources.tables import table
+from chartloom.sources.tables import spread_table, table
 
 _LINES = r"regexp_split_to_array(text, '[\n\r\x{0b}\x{0c}\x{85}\x{2028}\x{2029}]')"
 _SCORES = r"""SELECT doc_id, least(1.0, length(regexp_replace(text, '[^\p{N}]', '', 'g'))::DOUBLE / greatest(1, length(text)) * 5) AS numeric_density,
@@ -24,18 +24,18 @@ _SPLIT = f"""SELECT doc_id, chunk_words, list_filter(string_split(regexp_replace
 
 @query("complexity_features", f"SELECT doc_id, {_ROUNDED} FROM ({_SCORES})")
 def complexity_features(spark, d):
-    out = complexity.analyze(table(spark, d, "documents"))
+    out = complexity.analyze(spread_table(spark, d, "documents"))
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("numeric_density", "table_signature", "list_strength", "header_strength")])
 
 
 @query("complexity_class", f"SELECT {_CLASS} AS complexity, count(*) AS documents FROM ({_SCORES}) GROUP BY 1")
 def complexity_class(spark, d):
-    return complexity.analyze(table(spark, d, "documents").select("doc_id", "text")).groupBy("complexity").agg(F.count(F.lit(1)).alias("documents"))
+    return complexity.analyze(spread_table(spark, d, "documents").select("doc_id", "text")).groupBy("complexity").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("section_split", f"SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(least(len(w) - part * chunk_words, chunk_words) AS INTEGER) AS word_count FROM (SELECT doc_id, chunk_words, w, unnest(range(0, CAST(ceil(greatest(len(w), 1)::DOUBLE / chunk_words) AS BIGINT))) AS part FROM ({_SPLIT}))")
 def section_split(spark, d):
-    sized = complexity.analyze(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "content")
+    sized = complexity.analyze(spread_table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "content")
     return chunking.split_words(sized.select("doc_id", "content", "chunk_words")).select("doc_id", "part", "word_count")
 
 

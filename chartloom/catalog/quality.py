@@ -9,7 +9,7 @@ from chartloom.catalog.retrieval import _HITS, SPLIT, _hits, vectors
 from chartloom.catalog.retrieval import queries as base_queries
 from chartloom.functions import text as T
 from chartloom.operators import gates
-from chartloom.sources.tables import table
+from chartloom.sources.tables import spread_table, table
 
 
 def asked(spark, d):
@@ -94,7 +94,7 @@ s AS (SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) / greatest(1, len(
 
 @query("ngram_stats", f"{_GRAMS} SELECT doc_id, n_words, round(unique_ratio, 6) AS unique_ratio, round(bigram_entropy, 5) AS bigram_entropy, top_trigram FROM s")
 def ngram_stats(spark, d):
-    s = gates.ngram_stats(table(spark, d, "documents"), "doc_id", "text")
+    s = gates.ngram_stats(spread_table(spark, d, "documents"), "doc_id", "text")
     return s.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.round("unique_ratio", 6).alias("unique_ratio"), F.round("bigram_entropy", 5).alias("bigram_entropy"), "top_trigram")
 
 

@@ -16,6 +16,9 @@ from chartloom.config import SETTINGS
 from chartloom.functions.stem import stemmed
 from chartloom.functions.text import fold_accents, search_tokens, words
 
+#: So many query terms at most are broadcast (a row of about 100 bytes each); more are shuffled.
+BROADCAST_TERMS = 100_000
+
 
 @dataclass
 class TextIndex:
@@ -78,21 +81,23 @@ def search(index: TextIndex, queries: DataFrame, k: int = SETTINGS.top_k, digits
     s = SETTINGS
     terms = query_terms(queries, index.stem)
     needed = terms.groupBy("query_id").agg(F.count_distinct("term").alias("n_terms"))
-    hits = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    scoped = "scope" in queries.columns
+    needed = needed.join(queries.select("query_id", F.col("scope").alias("__wanted")), "query_id") if scoped else needed
+    hits = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(needed, "query_id")
     df = index.frequencies.crossJoin(index.stats)  # the statistics are one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = hits.join(df, "term").withColumn("idf", F.when(idf > 0, idf).otherwise(s.idf_floor))
-    found = index.postings.join(rated, "term").join(index.lengths, "doc_id")
-    if "scope" in queries.columns:
-        scopes = queries.select("query_id", F.col("scope").alias("__wanted"))
-        found = found.join(scopes, "query_id").where(F.col("__wanted").isNull() | (F.col("scope") == F.col("__wanted")))
+    # Few query terms go to the postings, which stay where they are: by document, as is what follows.
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    found = index.postings.join(F.broadcast(rated) if few else rated, "term").join(index.lengths, "doc_id")
+    if scoped:
+        found = found.where(F.col("__wanted").isNull() | (F.col("scope") == F.col("__wanted")))
     f = F.col("weight")
     norm = f + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / F.col("avg_length"))
     part = F.col("times") * F.col("idf") * f * (s.bm25_k1 + 1) / norm
-    scored = found.groupBy("query_id", "doc_id").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("matched")).join(needed, "query_id")
+    scored = found.groupBy("query_id", "doc_id", "n_terms").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("matched"))
+    scored = scored.select("query_id", "doc_id", F.col("score") if digits is None else F.round("score", digits).alias("score"), (F.col("matched") == F.col("n_terms")).alias("__all"))
+    # Documents with every term rank first, so that a task sends on k rows a query at most.
     by_query = Window.partitionBy("query_id")
-    scored = scored.withColumn("__all", F.max(F.col("matched") == F.col("n_terms")).over(by_query)).where(~F.col("__all") | (F.col("matched") == F.col("n_terms")))
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
-    rank = F.row_number().over(by_query.orderBy("score", "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    best = scored.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("__all"), "score", "doc_id"))).where(F.col("rank") <= k)
+    return best.withColumn("__any", F.max("__all").over(by_query)).where(F.col("__all") | ~F.col("__any")).select("query_id", "doc_id", "score", "rank")

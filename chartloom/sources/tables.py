@@ -7,11 +7,25 @@ from pyspark.sql import functions as F
 
 from chartloom.schemas import schema
 
+SPREAD_BYTES = 256 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for heavy work row by row, dealt over the cores if it is of few bytes.
+
+    One task reads a row group, and a small file may have one only; the shuffle
+    is of SPREAD_BYTES at most, and larger tables are read as they lie.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    df = table(spark, sf_dir, name)
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def fetch(spark: SparkSession, path: str, entity: str, *order) -> DataFrame:
     """Every row of a stored entity, in an order if one is given (SRC-01)."""
     df = spark.read.schema(schema(entity)).parquet(path)
