@@ -83,13 +83,15 @@ def search(index: TextIndex, queries: DataFrame, k: int = SETTINGS.top_k, digits
     needed = terms.groupBy("query_id").agg(F.count_distinct("term").alias("n_terms"))
     scoped = "scope" in queries.columns
     needed = needed.join(queries.select("query_id", F.col("scope").alias("__wanted")), "query_id") if scoped else needed
+    # Few query terms go to the postings, which stay where they are, by document, as is what follows; no other term is counted.
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    asked = F.broadcast(terms.select("term").distinct()) if few else None
+    postings, frequencies = (x.join(asked, "term", "left_semi") if few else x for x in (index.postings, index.frequencies))
     hits = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(needed, "query_id")
-    df = index.frequencies.crossJoin(index.stats)  # the statistics are one row
+    df = frequencies.crossJoin(index.stats)  # the statistics are one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = hits.join(df, "term").withColumn("idf", F.when(idf > 0, idf).otherwise(s.idf_floor))
-    # Few query terms go to the postings, which stay where they are: by document, as is what follows.
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    found = index.postings.join(F.broadcast(rated) if few else rated, "term").join(index.lengths, "doc_id")
+    found = postings.join(F.broadcast(rated) if few else rated, "term").join(index.lengths, "doc_id")
     if scoped:
         found = found.where(F.col("__wanted").isNull() | (F.col("scope") == F.col("__wanted")))
     f = F.col("weight")
