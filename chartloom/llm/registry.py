@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontaminate, fingerprint, language, near_duplicates, packing, pii, sharding, token_counts, token_files, url_filter
+from chartloom.llm import decontaminate, filter_audit, fingerprint, language, main_text, near_duplicates, packing, periodic_runs, pii, sharding, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_token_files": token_files.query,
     "op10_language_id": language.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_html_extraction": main_text.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding": sharding.ORACLE_SQL,
     "op5_ngram_jaccard_join": near_duplicates.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
