@@ -14,6 +14,7 @@ from chartloom.functions import vectors as V
 from chartloom.functions.wordpiece import wordpiece
 from chartloom.operators import fulltext, hybrid, postprocess, vector_index
 from chartloom.plans import retrieval
+from chartloom.sources import versions
 from chartloom.sources.tables import table
 
 SPLIT = r"[^\p{L}\p{M}\p{N}]+"
@@ -40,7 +41,9 @@ def queries(spark, d, scoped: bool = False):
 
 
 def index(spark, d, fields=None, stem=False):
-    return fulltext.build(chunks(spark, d), {"content": 2.0} if fields is None else fields, stem=stem)
+    """A new index of the documents, stored once for the searches of one query; a standing one is written by ``retrieval.reindex``."""
+    docs = chunks(spark, d).select("chunk_id", "patient_id", *(fields or ["content"]))
+    return fulltext.build(docs, {"content": 2.0} if fields is None else fields, stem=stem).kept(versions.scratch(spark, "text-index"))
 
 
 def _bm25(scoped: bool, k: int) -> str:
@@ -85,7 +88,7 @@ def query_tokens(spark, d):
 
 @query("corpus_stats", f"SELECT count(*) AS n_docs, round(avg(len(list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda x: x <> ''))), 6) AS avg_length FROM documents")
 def corpus_stats(spark, d):
-    return index(spark, d).stats.select("n_docs", F.round("avg_length", 6).alias("avg_length"))
+    return fulltext.build(chunks(spark, d), {"content": 2.0}).stats.select("n_docs", F.round("avg_length", 6).alias("avg_length"))
 
 
 @query("bm25_topk", f"WITH {_bm25(False, 10)} {_RANKED} bm")
@@ -246,10 +249,7 @@ def mmr_select(spark, d):
 
 
 def corpus(spark, d):
-    """The index is kept for the searches of one query; a standing one is written by ``retrieval.reindex``."""
-    built = index(spark, d)
-    kept = fulltext.TextIndex(*[x.persist() for x in (built.postings, built.lengths, built.frequencies, built.stats)])
-    return retrieval.Corpus(chunks(spark, d), vectors(spark, d).select("chunk_id", "embedding"), kept)
+    return retrieval.Corpus(chunks(spark, d), vectors(spark, d).select("chunk_id", "embedding"), index(spark, d))
 
 
 @query("hybrid_search")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import space_words, trim_all
+from chartloom.operators.batching import pack
 from chartloom.operators.complexity import analyze
 from chartloom.operators.formatters import DATE, TIME, column, joined, optional
 from chartloom.operators.labels import age, full_name
@@ -92,25 +93,6 @@ def record_chunks(records: DataFrame, patients: DataFrame) -> DataFrame:
     return _finish(parts.withColumns({"chunk_index": index, "contextual_prefix": prefix, "source_type": F.lit("clinicalRecord")}))
 
 
-def pack_lines(lines: Column, sizes: Column, limit: Column) -> Column:
-    """Greedy runs of lines: a line that would pass the limit starts the next run (CHK-04, RTR-05).
-
-    An array of (from, size, total): each run's first line, lines and total.
-    """
-
-    def step(acc, i):
-        size = F.get(sizes, i)
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = (F.size(acc) > 0) & (last["total"] + size <= limit)
-        longer = F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"), (last["total"] + size).alias("total"))
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))
-        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(i.alias("first"), F.lit(1).alias("n"), size.alias("total")))))
-
-    empty = F.array().cast("array<struct<first:int,n:int,total:int>>")
-    every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(every, empty, step)
-
-
 def medication_line(columns) -> Column:
     c = lambda n, k="string": column(columns, n, k)
     return F.concat_ws(
@@ -128,7 +110,7 @@ def medication_chunks(medications: DataFrame, patients: DataFrame) -> DataFrame:
     sizes = F.transform("lines", lambda x: F.size(space_words(x)))
     total = F.size(space_words(F.col("content")))
     rows = rows.withColumn("__sizes", sizes)
-    runs = F.when(total <= F.col("chunk_words"), F.array(F.struct(F.lit(0).alias("first"), F.size("lines").alias("n"), total.alias("total")))).otherwise(pack_lines(F.col("lines"), F.col("__sizes"), F.col("chunk_words")))
+    runs = F.when(total <= F.col("chunk_words"), F.array(F.struct(F.lit(0).alias("first"), F.size("lines").alias("n"), total.alias("total")))).otherwise(pack(F.col("__sizes"), F.col("chunk_words")))
     out = rows.select("patient_id", "patient_name", "date_recorded", "lines", F.posexplode(runs).alias("chunk_index", "r"))
     out = out.select(
         "patient_id", "patient_name", "date_recorded", "chunk_index", F.array_join(F.slice("lines", F.col("r.first") + 1, F.col("r.n")), "\n").alias("content"), F.col("r.total").alias("word_count"), F.col("patient_id").alias("source_id"),

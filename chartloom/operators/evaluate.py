@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import any_contains, query_preview, trim_all
+from chartloom.operators import order_statistic
+from chartloom.sources import versions
 
 #: What an abstaining answer says; gates (name, column, bound, at least?).
 ABSTAINED = (
@@ -82,16 +86,16 @@ def p95(values):
     return F.get(F.array_sort(values), F.least(F.floor(n * F.lit(0.95)).cast("int"), n - 1))
 
 
-#: Intervals of the latency range that are counted before one is ordered.
-BUCKETS = 1024
+_MEASURED = ("retrieval_recall", "citation_precision", "answer_match", "abstention_correct", "context_overflow", "used_visual_evidence", "latency_seconds", "tokens_generated")
 
 
 def metrics(results: DataFrame) -> DataFrame:
     """One row; an empty run has the worst rates (AGG-09, EVL-07, EVL-09, EVL-11).
 
-    The percentile takes an exact rank: counts of BUCKETS equal intervals say
-    which of them holds it, and only that one's latencies are ordered.
+    The results are written once to the shared folder.  The percentile is the
+    latency at an exact rank, null ones first, found by narrowing.
     """
+    results = versions.stored(results.select(*_MEASURED), versions.scratch(results.sparkSession, "results"))
     n = F.count(F.lit(1))
     rate = lambda c, empty: F.coalesce(F.count_if(c) / F.nullif(n, F.lit(0)), F.lit(empty))
     passed = F.col("answer_match") | F.col("abstention_correct")
@@ -104,17 +108,11 @@ def metrics(results: DataFrame) -> DataFrame:
         n.alias("total_cases"), F.count_if(passed).alias("passed_cases"), (n - F.count_if(passed)).alias("failed_cases"),
     )
 
-    span = results.agg(F.min("latency_seconds").alias("__lo"), F.max("latency_seconds").alias("__hi"), n.alias("__n"))  # one row
-    share = (F.col("latency_seconds") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    bucket = F.least(F.coalesce(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))
-    counts = results.groupBy("latency_seconds").agg(n.alias("c")).join(F.broadcast(span)).withColumn("__b", F.when(F.col("latency_seconds").isNull(), -1).otherwise(bucket))
-    before = lambda *by: F.sum("c").over(Window.orderBy(*by)) - F.col("c")
-    at = F.least(F.floor(F.col("__n") * F.lit(0.95)), F.col("__n") - 1)
-    buckets = counts.groupBy("__b", "__n").agg(F.sum("c").alias("c")).withColumn("__from", before("__b"))  # a row a bucket
-    own = buckets.where((F.col("__from") <= at) & (at < F.col("__from") + F.col("c"))).select("__b", "__from")
-    inside = counts.join(F.broadcast(own), "__b").withColumn("__first", F.col("__from") + before("latency_seconds"))
-    tail = inside.where((F.col("__first") <= at) & (at < F.col("__first") + F.col("c"))).agg(F.coalesce(F.max("latency_seconds"), F.lit(0.0)).alias("p95_latency"))
-    return base.join(tail).withColumn("pass_rate", F.coalesce(F.col("passed_cases") / F.nullif(F.col("total_cases"), F.lit(0)), F.lit(0.0)))
+    total, nulls = results.agg(n, F.count_if(F.col("latency_seconds").isNull())).first()
+    rank = min(math.floor(total * 0.95), total - 1) - nulls
+    tail = order_statistic.nth(results, "latency_seconds", rank) if rank >= 0 else None
+    base = base.withColumn("p95_latency", F.lit(0.0 if tail is None else tail).cast("double"))
+    return base.withColumn("pass_rate", F.coalesce(F.col("passed_cases") / F.nullif(F.col("total_cases"), F.lit(0)), F.lit(0.0)))
 
 
 def gates(measured: DataFrame) -> DataFrame:

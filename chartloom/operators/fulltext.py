@@ -34,21 +34,47 @@ class TextIndex:
         for name in ("lengths", "frequencies", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def kept(self, path: str) -> TextIndex:
+        """Written as it lies and read back: for the searches of one query, which then all take the same postings."""
+        spark = self.postings.sparkSession
+        for name in ("postings", "lengths"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        postings, lengths = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths"))
+        return TextIndex(postings, lengths, *_counts(postings, lengths), self.stem)
+
     @staticmethod
     def load(spark: SparkSession, path: str, stem: bool = False) -> TextIndex:
         return TextIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "frequencies", "stats")], stem=stem)
 
 
+def _counts(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Document frequencies and the corpus numbers."""
+    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats
+
+
 def normalize_terms(df: DataFrame, term: str = "term") -> DataFrame:
     """Accents folded and words stemmed, once per distinct term (FTS-02)."""
     distinct = df.select(term).distinct().select(F.col(term).alias("__raw"), stemmed(fold_accents(F.col(term))).alias("__stem"))
     return df.join(distinct, F.col(term) == F.col("__raw")).drop("__raw", term).withColumnRenamed("__stem", term)
 
 
+def one_each(docs: DataFrame, doc_id: str, *order: str) -> DataFrame:
+    """The first row of each id.  Ids alone are counted; only rows whose id repeats are shuffled, and none where no id does."""
+    repeated = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(doc_id).alias("__id"))
+    n = repeated.limit(BROADCAST_TERMS + 1).count()
+    if not n:
+        return docs
+    repeated = F.broadcast(repeated) if n <= BROADCAST_TERMS else repeated
+    same = F.col(doc_id).eqNullSafe(F.col("__id"))
+    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(*order))
+    return docs.join(repeated, same, "left_anti").unionByName(docs.join(repeated, same, "left_semi").withColumn("__n", first).where("__n = 1").drop("__n"))
+
+
 def build(docs: DataFrame, fields: dict[str, float] | None = None, doc_id: str = "chunk_id", scope: str | None = "patient_id", stem: bool = False) -> TextIndex:
     """Index the fields with their weights (FTS-01); a repeated id keeps one document (FTS-08)."""
     fields = dict(SETTINGS.field_weights) if fields is None else fields
-    one = docs.dropDuplicates([doc_id])
+    one = one_each(docs, doc_id, *fields)
     base = one.select(F.col(doc_id).alias("doc_id"), (F.col(scope) if scope else F.lit(None).cast("string")).alias("scope"), *[words(F.coalesce(f, F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)])
     terms = None
     for i, w in enumerate(fields.values()):
@@ -59,9 +85,7 @@ def build(docs: DataFrame, fields: dict[str, float] | None = None, doc_id: str =
     postings = terms.groupBy("doc_id", "term").agg(F.sum("w").alias("weight"))
     length = sum((F.size(f"f{i}") for i in range(len(fields))), F.lit(0))
     lengths = base.select("doc_id", length.cast("bigint").alias("length"), "scope")
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return TextIndex(postings, lengths, frequencies, stats, stem)
+    return TextIndex(postings, lengths, *_counts(postings, lengths), stem)
 
 
 def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chartloom.config import SETTINGS
 from chartloom.functions.text import any_contains, count_contains, estimate_tokens
 from chartloom.operators import chart
-from chartloom.operators.chunking import pack_lines
+from chartloom.operators.batching import batches
 from chartloom.operators.formatters import DATE, TIME, appointment_line, medication_line, patient_summary, record_line
 from chartloom.operators.labels import age, full_name
 
@@ -96,13 +96,12 @@ def available_tokens(system: Column, question: Column, context: Column, window:
 def batch_lines(lines: DataFrame, chars: int, group: str | None = None, order: str = "patient_id", line: str = "line") -> DataFrame:
     """Lines in greedy batches of at most so many characters; a longer line is a batch of its own (RTR-05).
 
-    One group is one prompt's worth of panel; groups are packed independently.
+    One group is one prompt's worth of panel; groups are packed independently,
+    and the lines of a long one in parts.
     """
     key = [group] if group else []
-    rows = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, line))).alias("l"))
-    rows = rows.withColumn("__t", F.transform("l", lambda x: x[line])).withColumn("__s", F.transform("__t", lambda t: F.length(t) + 1))
-    runs = rows.select(*key, "l", F.posexplode(pack_lines(F.col("__t"), F.col("__s"), F.lit(chars))).alias("batch", "r"))
-    return runs.select(*key, "batch", F.explode(F.slice("l", F.col("r.first") + 1, F.col("r.n"))).alias("x")).select(*key, "batch", f"x.{order}", f"x.{line}")
+    placed = batches(lines.select(*key, order, line), F.length(line) + 1, chars, group, order, line)
+    return placed.select(*key, "batch", order, line)
 
 
 def panel_overview(patients: DataFrame, records: DataFrame, medications: DataFrame, appointments: DataFrame, as_of: str, k: int = 16) -> DataFrame:

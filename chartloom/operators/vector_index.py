@@ -28,76 +28,116 @@ def check_counts(chunks: DataFrame, vectors: DataFrame) -> None:
         raise ValueError(f"{a} chunks but {b} vectors")
 
 
-def _scan(block: list[tuple], k: int, digits: int | None):
+#: Columns of packed vectors: a row is a block.
+PACKED = ("ids", "vectors", "scopes")
+
+
+def _pack(batches) -> Iterator:
+    """An Arrow batch of (id, vector, scope) as one row of lists."""
+    import pyarrow as pa
+
+    for b in batches:
+        ends = pa.array([0, b.num_rows], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in b.columns], names=list(PACKED))
+
+
+def packed(rows: DataFrame, *by: str) -> DataFrame:
+    """Blocks of (id, vector, scope) rows: as they lie, a batch a block, or all rows that agree in ``by``."""
+    if by:
+        row = F.struct("id", "vector", "scope")
+        return rows.groupBy(*by).agg(F.collect_list(row).alias("r")).select(*by, F.col("r.id").alias("ids"), F.col("r.vector").alias("vectors"), F.col("r.scope").alias("scopes"))
+    kinds = dict(rows.dtypes)
+    return rows.select("id", "vector", "scope").mapInArrow(_pack, ", ".join(f"{p} array<{kinds[c]}>" for p, c in zip(PACKED, ("id", "vector", "scope"))))
+
+
+def _groups(column, rows: int):
+    """The vectors of one list by dimension: (dimension, places, matrix)."""
+    import pyarrow as pa
+
+    lengths = np.asarray(column.value_lengths().fill_null(0))
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        yield int(n), at, np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)
+
+
+def _score(k: int, digits: int | None, schema):
+    """The k best vectors of each query of a pair of blocks (q_ids, q_vectors, q_scopes, ids, vectors, scopes)."""
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        dims = {len(q[1]) for q in block}
-        best: dict = {}
         for b in batches:
-            ids, scopes = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            vectors = b.column(1)
-            lengths = np.asarray(vectors.value_lengths().fill_null(0))
-            for n in np.unique(lengths[lengths > 0]):
-                rows = np.flatnonzero(lengths == n)
-                matrix = np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), n)
-                for dim in dims:
-                    m = min(n, dim)
-                    chosen = [q for q in block if len(q[1]) == dim]
-                    scores = matrix[:, :m] @ np.array([q[1][:m] for q in chosen], np.float64).T
-                    if digits is not None:
-                        scores = np.round(scores, digits)
-                    for j, (query_id, _, scope) in enumerate(chosen):
-                        mine = np.arange(len(rows)) if scope is None else np.flatnonzero(scopes[rows] == scope)
-                        s = scores[mine, j]
-                        if len(s) > k:  # the k best, and all that tie with the last of them
-                            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                            mine, s = mine[keep], s[keep]
-                        old = best.get(query_id, ([], []))
-                        best[query_id] = _cut(old[0] + s.tolist(), old[1] + ids[rows[mine]].tolist(), k)
-        out = [(q, i, s) for q, (ss, ii) in best.items() for s, i in zip(ss, ii)]
-        yield pa.RecordBatch.from_pydict({"query_id": [o[0] for o in out], "doc_id": [o[1] for o in out], "score": [o[2] for o in out]}, schema=run.schema)
+            for row in range(b.num_rows):
+                q_ids, q_vectors, q_scopes, ids, vectors, scopes = (c[row].values for c in b.columns)
+                scope_of, wanted = np.asarray(scopes.to_pylist(), object), q_scopes.to_pylist()
+                best: dict[int, tuple[list, list]] = {}
+                of_queries = list(_groups(q_vectors, len(q_ids)))
+                for n, places, matrix in _groups(vectors, len(ids)):
+                    for dim, asked, q in of_queries:
+                        m = min(n, dim)
+                        scores = matrix[:, :m] @ q[:, :m].T
+                        if digits is not None:
+                            scores = np.round(scores, digits)
+                        for j, query in enumerate(asked.tolist()):
+                            mine = np.arange(len(places)) if wanted[query] is None else np.flatnonzero(scope_of[places] == wanted[query])
+                            s = scores[mine, j]
+                            if len(s) > k:  # the k best, and all that tie with the last of them
+                                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                                mine, s = mine[keep], s[keep]
+                            old = best.get(query, ([], []))
+                            best[query] = _cut(old[0] + s.tolist(), old[1] + ids.take(pa.array(places[mine])).to_pylist(), k)
+                out = [(q, i, s) for q, (ss, ii) in best.items() for s, i in zip(ss, ii)]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], schema.field(1).type), pa.array([o[2] for o in out], pa.float64())], schema=schema)
 
     return run
 
 
+def best_of_pairs(pairs: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) from pairs of blocks: each pair gives k rows a query at most, which one window merges."""
+    import pyarrow as pa
+
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds = {c: t[6:-1] for c, t in pairs.dtypes if c in ("q_ids", "ids")}
+    schema = pa.schema([("query_id", arrow[kinds["q_ids"]]), ("doc_id", arrow[kinds["ids"]]), ("score", pa.float64())])
+    columns = [f"q_{c}" for c in PACKED] + list(PACKED)
+    parts = pairs.select(*columns).mapInArrow(_score(k, digits, schema), f"query_id {kinds['q_ids']}, doc_id {kinds['ids']}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _cut(scores: list, ids: list, k: int):
     order = sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k]
     return [scores[i] for i in order], [ids[i] for i in order]
 
 
+def query_rows(queries: DataFrame) -> DataFrame:
+    """(id, vector, scope) of the queries that have a vector."""
+    scope = F.col("scope").cast("string") if "scope" in queries.columns else F.lit(None).cast("string")
+    return queries.where(F.size("embedding") > 0).select(F.col("query_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), scope.alias("scope"))
+
+
+def vector_rows(vectors: DataFrame, doc_id: str = "chunk_id", scope: str | None = None) -> DataFrame:
+    return vectors.select(F.col(doc_id).alias("id"), F.col("embedding").alias("vector"), (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("scope"))
+
+
+def named_queries(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumnsRenamed({c: f"q_{c}" for c in PACKED})
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, doc_id: str = "chunk_id", scope: str | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k largest dot products of each query (VEC-02, VEC-03).
 
-    ``queries`` has query_id, embedding and optionally scope, and goes to the
-    executors in blocks of QUERY_BLOCK.  Vectors of another dimension are
-    compared over the shorter length; empty ones are skipped; ties go to the
-    lower id.  Every task keeps k rows a query, which one window then merges.
+    ``queries`` has query_id, embedding and optionally scope.  Vectors of another
+    dimension are compared over the shorter length; empty ones are skipped; ties
+    go to the lower id.  Vectors are packed where they lie, queries by hash into
+    blocks of about QUERY_BLOCK; a join pairs each block with each, so that no
+    query passes through the driver, and a pair sends on k rows a query.
     """
-    import pyarrow as pa
-
-    columns = ["query_id", "embedding"] + (["scope"] if "scope" in queries.columns else [])
-    wanted = queries.select(*columns).where(F.size("embedding") > 0)
-    source = vectors.select(F.col(doc_id).alias("doc_id"), F.col("embedding"), (F.col(scope) if scope else F.lit(None).cast("string")).alias("scope"))
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    kinds = [dict(wanted.dtypes)["query_id"], dict(source.dtypes)["doc_id"]]
-    parts = None
-    block: list[tuple] = []
-
-    def scan(block):
-        run = _scan(block, k, digits)
-        run.schema = pa.schema([("query_id", arrow[kinds[0]]), ("doc_id", arrow[kinds[1]]), ("score", pa.float64())])
-        return source.mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-
-    for row in wanted.toLocalIterator():
-        block.append((row["query_id"], [float(x) for x in row["embedding"]], row["scope"] if len(columns) == 3 else None))
-        if len(block) == QUERY_BLOCK:
-            parts = scan(block) if parts is None else parts.unionAll(scan(block))
-            block = []
-    if block or parts is None:
-        parts = scan(block) if parts is None else parts.unionAll(scan(block))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k)
+    asked = query_rows(queries)
+    n_blocks = -(-asked.count() // QUERY_BLOCK)
+    asked = packed(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(n_blocks, 1))).cast("int")), "block")
+    lying = packed(vector_rows(vectors, doc_id, scope)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))))
+    return best_of_pairs(lying.join(named_queries(asked), "block"), k, digits)
 
 
 def score_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
