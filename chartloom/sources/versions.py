@@ -37,7 +37,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to a new folder and read it back."""
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _files(spark: SparkSession, path: str):
@@ -48,11 +48,15 @@ def _files(spark: SparkSession, path: str):
 def publish(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
     """Make ``row`` the signpost's."""
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{SIGNPOST}.next")
-    a, fs = _files(spark, f"{path}/{SIGNPOST}.next")
-    b, _ = _files(spark, f"{path}/{SIGNPOST}")
-    fs.delete(b, True)
+    delete(spark, f"{path}/{SIGNPOST}")
+    move(spark, f"{path}/{SIGNPOST}.next", f"{path}/{SIGNPOST}")
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    a, fs = _files(spark, source)
+    b, _ = _files(spark, target)
     if not fs.rename(a, b):
-        raise OSError(f"cannot rename {a.toString()} to {b.toString()}")
+        raise OSError(f"cannot rename {source} to {target}")
 
 
 def current(spark: SparkSession, path: str) -> Row:
