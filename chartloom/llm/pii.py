@@ -140,7 +140,7 @@ def pieces_at(text, ranges):
 
 
 def contexts(text, base):
-    """The terms near each base span that no base span covers, with the span's entity: array of (entity, term)."""
+    """The terms near each base span that no base span covers, with the span's entity: array of (entity, term), a pair as often as it occurs."""
     n = F.length(text)
     around = F.transform(base, lambda s: F.struct(F.greatest(s["start"] - CONTEXT - 1, F.lit(0)).alias("from"), F.least(s["end"] + CONTEXT + 1, n).alias("to")))
 
@@ -151,7 +151,7 @@ def contexts(text, base):
         words = F.filter(words, lambda w: (low + w["end"] <= s["start"]) | (low + w["start"] >= s["end"]))
         return F.transform(F.array_distinct(F.transform(words, lambda w: F.lower(w["value"]))), lambda t: F.struct(_entity(s).alias("entity"), t.alias("term")))
 
-    return _let(pieces_at(text, around), lambda windows: F.array_distinct(F.flatten(F.transform(base, lambda s, i: near(s, i, windows)))))
+    return _let(pieces_at(text, around), lambda windows: F.flatten(F.transform(base, lambda s, i: near(s, i, windows))))
 
 
 def _key(id_column: str):
@@ -175,8 +175,9 @@ def _mentioning(found: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, found: DataFrame, mentioning: DataFrame, text_column: str = "text", min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(entity, term, n_both, n_term, n_entity, disclosure) of candidates, and (key, text_hash, entity, term) of the documents that hold both."""
     total = float(max(found.count(), 1))
-    near = mentioning.select("text_hash", F.explode(contexts(F.col("text"), F.col("base"))).alias("c")).select("c.*", "text_hash")
-    pairs = store.materialize(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_near")), "pii-pairs")
+    # Pairs are told apart here and not in the array, where Spark would compare all of them with each other.
+    near = mentioning.select(F.explode(contexts(F.col("text"), F.col("base"))).alias("c")).select("c.*")
+    pairs = store.materialize(near.distinct(), "pii-pairs")
     holders = mentioning.select("key", "text_hash", "rows", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     entities = holders.groupBy("entity").agg(F.sum("rows").alias("n_entity"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(store.text_of(text_column)), F.lit(_WORD), F.lit(0)))
