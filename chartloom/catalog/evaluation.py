@@ -15,9 +15,9 @@ def cases(spark, d):
     x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
     i = F.col("doc_id")
     return x.select(
-        i.cast("string").alias("id"), F.left("text", F.lit(60)).alias("query"), F.when(F.col("quality") == 1, F.left("text", F.lit(12))).otherwise(F.lit("absent answer")).alias("expectedAnswer"),
+        i.cast("string").alias("id"), F.col("text").alias("query"), F.when(F.col("quality") == 1, F.col("text")).otherwise(F.lit("absent answer")).alias("expectedAnswer"),
         F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (i % 3 + 1).cast("int")).alias("category"), F.when(i % 2 == 0, F.array(F.lit("x"))).alias("groundTruthChunkIds"),
-        F.when(i % 3 == 0, F.array(F.left("text", F.lit(4)), F.lit("@@"))).alias("expectedCitations"), (F.col("toxic") == 1).alias("shouldAbstain"), F.lit(None).cast("string").alias("containerId"),
+        F.when(i % 3 == 0, F.array(F.col("lang"), F.lit("@@"))).alias("expectedCitations"), (F.col("toxic") == 1).alias("shouldAbstain"), F.lit(None).cast("string").alias("containerId"),
         F.when(i % 4 == 0, "Deep-Think").alias("qualityMode"), F.array(F.concat(F.lit("t"), (i % 5).cast("string"))).alias("tags"), F.lit(None).cast("string").alias("notes"),
     )
 
@@ -34,9 +34,9 @@ def results(spark, d):
 
 
 _RESULTS = """SELECT id, doc_id, answer IS NULL AS failed, CASE WHEN answer IS NULL THEN false ELSE toxic <> 1 AND (contains(lower(trim(answer)), expected) OR contains(expected, lower(trim(answer)))) END AS answer_match, CASE WHEN answer IS NULL THEN 0.0 WHEN doc_id % 2 = 0 THEN 1.0 END::DOUBLE AS retrieval_recall,
-CASE WHEN answer IS NULL THEN 0.0 WHEN doc_id % 3 = 0 THEN (CASE WHEN contains(lower(answer), lower(left(text, 4))) THEN 1 ELSE 0 END + CASE WHEN contains(answer, '@@') THEN 1 ELSE 0 END) / 2.0 ELSE 1.0 END::DOUBLE AS citation_precision,
+CASE WHEN answer IS NULL THEN 0.0 WHEN doc_id % 3 = 0 THEN (CASE WHEN contains(lower(answer), lower(lang)) THEN 1 ELSE 0 END + CASE WHEN contains(answer, '@@') THEN 1 ELSE 0 END) / 2.0 ELSE 1.0 END::DOUBLE AS citation_precision,
 CASE WHEN answer IS NULL THEN toxic = 1 WHEN toxic = 1 THEN PHRASES ELSE trim(answer) <> '' END AS abstention_correct, (doc_id * 37 % 1000) / 100.0::DOUBLE AS latency_seconds
-FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, text, toxic, CASE WHEN quality = 1 THEN lower(regexp_replace(left(text, 12), '^\\s+|\\s+$', '', 'g')) ELSE 'absent answer' END AS expected, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'I don''t know.' ELSE text END AS answer FROM labels JOIN documents USING (doc_id))""".replace(
+FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, text, lang, toxic, CASE WHEN quality = 1 THEN lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ELSE 'absent answer' END AS expected, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'I don''t know.' ELSE text END AS answer FROM labels JOIN documents USING (doc_id))""".replace(
     "PHRASES", "(" + " OR ".join("contains(lower(answer), '" + p.replace("'", "''") + "')" for p in evaluate.ABSTAINED) + ")"
 )
 
@@ -81,3 +81,11 @@ def eval_gates(spark, d):
 def eval_report_json(spark, d):
     r = results(spark, d)
     return evaluate.report_json(evaluate.metrics(r), r).agg(F.count("json").alias("lines"))
+
+
+@query("eval_report_rows", f"SELECT id, answer_match, latency_seconds, CASE WHEN doc_id % 4 = 0 THEN 'Deep Think' ELSE 'Standard' END AS quality_mode_used FROM ({_RESULTS})")
+def eval_report_rows(spark, d):
+    """The results as the JSON report has them, read back."""
+    r = results(spark, d)
+    parsed = evaluate.report_json(evaluate.metrics(r), r).where("kind = 'result'").select(F.from_json("json", "id string, answer_match boolean, latency_seconds double, quality_mode_used string").alias("r"))
+    return parsed.select("r.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartloom.catalog.registry import query, quoted
+from chartloom.catalog.registry import ORACLE_SQL, query, quoted
 from chartloom.catalog.retrieval import _HITS, SPLIT, _hits, vectors
 from chartloom.catalog.retrieval import queries as base_queries
 from chartloom.functions import text as T
@@ -66,7 +66,11 @@ def contradiction_sweep(spark, d):
     return gates.contradictions(notes).select("query_id", "clinical_category", "pair")
 
 
-@query("gate_contradiction")
+_HX = "hx AS (SELECT h.*, source, lang FROM hits h JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id))"
+_OPPOSED = [(f"bool_or(contains(lower(content), {quoted(a)}))", f"bool_or(contains(lower(content), {quoted(b)}))") for a, b in gates.OPPOSITES]
+
+
+@query("gate_contradiction", f"{_Q}, {_HX} SELECT query_id, NOT coalesce(bool_or(bad), false) AS passed FROM r LEFT JOIN (SELECT query_id, count(*) > 1 AND ({' OR '.join(f'({a} AND {b})' for a, b in _OPPOSED)}) AS bad FROM hx GROUP BY query_id, source, lang) USING (query_id) GROUP BY 1")
 def gate_contradiction(spark, d):
     return gates.contradiction_sweep(asked(spark, d), evidence(spark, d))
 
@@ -81,7 +85,15 @@ def gate_semantic_grounding(spark, d):
     return gates.semantic_grounding(asked(spark, d), evidence(spark, d))
 
 
-@query("gate_quote_faithfulness")
+_DRUG = " OR ".join(f"ends_with(w, {quoted(x)})" for x in gates.DRUG_SUFFIXES)
+_FIRST = r"string_split(regexp_replace(x, '^[ \t]+|[ \t]+$', '', 'g'), ' ')[1]"
+
+
+@query(
+    "gate_quote_faithfulness",
+    rf"""{_Q}, l AS (SELECT query_id, list_distinct(flatten(list(list_transform(regexp_split_to_array(content, '[\n\r]'), lambda x: lower({_FIRST}))))) AS names FROM hits GROUP BY 1)
+    SELECT query_id, CASE WHEN names IS NULL THEN true ELSE len(list_filter(list_distinct(regexp_split_to_array(lower(response), '{SPLIT}')), lambda w: length(w) > 4 AND ({_DRUG}) AND NOT list_contains(names, w))) = 0 END AS passed FROM r LEFT JOIN l USING (query_id)""",
+)
 def gate_quote_faithfulness(spark, d):
     return gates.quote_faithfulness(asked(spark, d), evidence(spark, d).withColumn("source_type", F.lit("medication")))
 
@@ -103,7 +115,21 @@ def gate_generation_quality(spark, d):
     return gates.generation_quality(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("response")))
 
 
-@query("gate_answer_completeness")
+_COMPARED = f"[{', '.join(quoted(w) for w in gates.COMPARED)}]"
+_ANY = lambda text, *words: "(" + " OR ".join(f"contains({text}, {w if w.startswith('chr') else quoted(w)})" for w in words) + ")"
+
+
+@query(
+    "gate_answer_completeness",
+    f"""{_Q}, {_HX}, tm AS (SELECT query_id, lang, list_slice(flatten(list(list_filter(regexp_split_to_array(lower(content), '{SPLIT}'), lambda w: length(w) > 3 AND w NOT IN ({_EV})) ORDER BY rank)), 1, 5) AS terms FROM hx GROUP BY 1, 2),
+    ca AS (SELECT r.query_id, count(*) AS n, count(*) FILTER (len(list_filter(terms, lambda t: contains(lower(response), t))) > 0) AS matched, count(*) FILTER (contains(lower(response), lower(lang))) AS covered FROM r JOIN tm ON tm.query_id = r.query_id GROUP BY 1),
+    pe AS (SELECT r.query_id, count(DISTINCT lower(source)) AS n, count(DISTINCT lower(source)) FILTER (contains(lower(response), lower(source))) AS named FROM r JOIN hx ON hx.query_id = r.query_id GROUP BY 1),
+    aq AS (SELECT r.query_id, lower(q.text) AS q, lower(response) AS a, response FROM r JOIN q ON q.query_id = r.query_id),
+    fg AS (SELECT aq.*, {_ANY("q", " and ", "then", "after")} AS several, {_ANY("q", "compare", "difference", " versus ", " vs ")} AS compares, {_ANY("q", "list", "all", "what are")} AS lists, list_filter({_COMPARED}, lambda w: contains(q, w)) AS asked, coalesce(ca.n, 0) AS cats, coalesce(matched, 0) AS matched, coalesce(covered, 0) AS covered, coalesce(pe.n, 0) AS people, coalesce(named, 0) AS named
+      FROM aq LEFT JOIN ca ON ca.query_id = aq.query_id LEFT JOIN pe ON pe.query_id = aq.query_id)
+    SELECT query_id, NOT ((several AND cats >= 2 AND matched < 2) OR (compares AND people >= 2 AND named < 2) OR (compares AND cats >= 2 AND covered < 2 AND len(asked) >= 2 AND len(list_filter(asked, lambda w: contains(a, w))) < 2)
+      OR (lists AND len(list_filter(string_split(response, ' '), lambda w: w <> '')) < 20 AND NOT {_ANY("response", "- ", "•", "chr(10)")})) AS passed FROM fg""",
+)
 def gate_answer_completeness(spark, d):
     return gates.answer_completeness(asked(spark, d), evidence(spark, d))
 
@@ -113,6 +139,18 @@ def gate_patient_isolation(spark, d):
     return gates.patient_isolation(asked(spark, d), evidence(spark, d))
 
 
-@query("all_gates")
+#: Each gate's own SQL: the response is the item's text, no chunk is a medication line.
+_BY_GATE = {
+    "retrievalConfidence": ORACLE_SQL["gate_retrieval_confidence"], "evidenceCoverage": ORACLE_SQL["gate_evidence_coverage"], "numericSanity": ORACLE_SQL["gate_numeric_sanity"], "contradictionSweep": ORACLE_SQL["gate_contradiction"],
+    "semanticGrounding": ORACLE_SQL["gate_semantic_grounding"], "quoteFaithfulness": "SELECT item_id AS query_id, true AS passed FROM benchmark",
+    "generationQuality": "WITH documents AS (SELECT item_id AS doc_id, text FROM benchmark)," + ORACLE_SQL["gate_generation_quality"].removeprefix("WITH"),
+    "answerCompleteness": ORACLE_SQL["gate_answer_completeness"], "patientIsolation": ORACLE_SQL["gate_patient_isolation"],
+}
+_PASSED = " + ".join(f'"{n}"::INT' for n in _BY_GATE)
+_GATES = f"""SELECT *, ({_PASSED}) / 9.0::DOUBLE AS overall_score, CASE WHEN ({_PASSED}) / 9.0::DOUBLE >= 0.85 THEN 'high' WHEN ({_PASSED}) / 9.0::DOUBLE >= 0.55 THEN 'medium' ELSE 'low' END AS confidence
+    FROM (SELECT item_id AS query_id FROM benchmark) b{"".join(f' JOIN (SELECT query_id, passed AS "{n}" FROM ({sql})) USING (query_id)' for n, sql in _BY_GATE.items())}"""
+
+
+@query("all_gates", _GATES)
 def all_gates(spark, d):
     return gates.verify(asked(spark, d), evidence(spark, d))

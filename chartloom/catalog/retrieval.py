@@ -141,6 +141,14 @@ def vector_resized(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(V.resized(e, 80)).alias("padded"), F.size(V.resized(e, 16)).alias("cut"))
 
 
+@query("vector_resized_values", "SELECT vec_id, pos - 1 AS pos, CASE WHEN pos <= len(embedding) THEN embedding[pos]::DOUBLE ELSE 0 END AS padded, CASE WHEN pos <= 16 THEN embedding[pos]::DOUBLE END AS cut FROM (SELECT vec_id, embedding, unnest(range(1, 81)) AS pos FROM embeddings)")
+def vector_resized_values(spark, d):
+    """Every value of the vectors padded to 80 and cut to 16."""
+    e = F.col("embedding")
+    wide = table(spark, d, "embeddings").select("vec_id", V.resized(e, 16).alias("short"), F.posexplode(V.resized(e, 80)).alias("pos", "padded"))
+    return wide.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("padded").cast("double").alias("padded"), F.get("short", F.col("pos")).cast("double").alias("cut"))
+
+
 @query("rrf_fusion", f"WITH {_bm25(False, 20)}, {_knn(False, 20)}, {_rrf(10)} {_RANKED} rrf")
 def rrf_fusion(spark, d):
     t = fulltext.search(index(spark, d), queries(spark, d), 20, 6)
@@ -304,6 +312,23 @@ def word_vectors(spark, d):
     return out.select("chunk_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+_WORD_TABLE = f"SELECT DISTINCT term AS word FROM (SELECT unnest(regexp_split_to_array(lower(text), '{SPLIT}')) AS term FROM documents) WHERE length(term) > 3"
+
+
+@query(
+    "word_vectors_of_corpus",
+    f"""WITH wv AS (SELECT word, [length(word)::DOUBLE, unicode(word)::DOUBLE, unicode(reverse(word))::DOUBLE] AS v FROM ({_WORD_TABLE})), w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '{SPLIT}')) AS word FROM benchmark),
+    m AS (SELECT item_id, avg(v[1]) AS a, avg(v[2]) AS b, avg(v[3]) AS c FROM w JOIN wv USING (word) GROUP BY 1)
+    SELECT item_id AS chunk_id, round(coalesce(a / greatest(n, 1e-9), 0), 6) AS x, round(coalesce(b / greatest(n, 1e-9), 0), 6) AS y, round(coalesce(c / greatest(n, 1e-9), 0), 6) AS z FROM benchmark LEFT JOIN (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM m) USING (item_id)""",
+)
+def word_vectors_of_corpus(spark, d):
+    """Items as means over a vocabulary of all longer words of the corpus, each with three numbers of its own."""
+    known = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).where(F.length("word") > 3).distinct()
+    vocabulary = known.select("word", F.array(F.length("word").cast("double"), F.ascii("word").cast("double"), F.ascii(F.reverse("word")).cast("double")).alias("vector"))
+    out = vector_index.word_average(table(spark, d, "benchmark").withColumnRenamed("item_id", "chunk_id"), vocabulary, 3)
+    return out.select("chunk_id", *[F.round(F.get("embedding", F.lit(i)), 6).alias(c) for i, c in enumerate("xyz")])
+
+
 @query("mean_pooling", "SELECT text_id, pos - 1 AS pos, round(m / greatest(n, 1e-9), 6) AS x FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY text_id)) AS n FROM (SELECT text_id, pos, avg(x) AS m FROM (SELECT vec_id // 16 AS text_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings WHERE vec_id % 3 = 0) GROUP BY 1, 2))")
 def mean_pooling(spark, d):
     """Sixteen vectors that follow one another are the tokens of a text; every third counts, the others are masked."""

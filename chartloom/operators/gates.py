@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chartloom.functions.text import SEPARATOR, any_contains, evidence_terms
 from chartloom.functions.vectors import dot
 from chartloom.operators.vector_index import centroid
+from chartloom.sources import versions
 
 #: Fixed values.
 OPPOSITES = (("active", "discontinued"), ("improving", "worsening"), ("resolved", "persistent"))
@@ -174,8 +175,9 @@ def tier(score: Column) -> Column:
 
 def verify(queries: DataFrame, hits: DataFrame, hard_isolation: bool = False) -> DataFrame:
     """One column per gate, the share passed and the tier; ``hard_isolation`` makes a mix of patients "low"."""
-    # Nine gates read the same few rows of every query.
-    queries, hits = queries.persist(), hits.persist()
+    # Nine gates read the same few rows of every query: written once, they need no cache that somebody has to release.
+    spark = queries.sparkSession
+    queries, hits = (versions.stored(df, versions.scratch(spark, "gates")) for df in (queries, hits))
     out = queries.select("query_id")
     for name, gate in GATES.items():
         out = out.join(gate(queries, hits).withColumnRenamed("passed", name), "query_id")

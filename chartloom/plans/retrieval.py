@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chartloom.config import SETTINGS
 from chartloom.functions.text import any_contains
 from chartloom.operators import fulltext, gates, hybrid, postprocess, vector_index
+from chartloom.sources import versions
 
 #: Conditions and procedures that make follow-up queries.
 FOLLOW_UP_TERMS = ("melanoma", "psoriasis", "eczema", "dermatitis", "rosacea", "basal cell", "squamous cell", "actinic keratosis", "biopsy", "excision", "cryotherapy", "phototherapy")
@@ -51,7 +52,8 @@ def search(corpus: Corpus, queries: DataFrame, k: int = SETTINGS.top_k, boosts:
 
 def ask(corpus: Corpus, queries: DataFrame, as_of: str, k: int = SETTINGS.top_k) -> tuple[DataFrame, DataFrame]:
     """(used hits, contexts): single pass (RET-15)."""
-    used = postprocess.process(search(corpus, queries, k), queries, as_of).persist()  # at most max_chunks rows a query
+    used = postprocess.process(search(corpus, queries, k), queries, as_of)  # at most max_chunks rows a query
+    used = versions.stored(used, versions.scratch(queries.sparkSession, "used-hits"))
     return used, postprocess.assemble(used, queries)
 
 

@@ -432,3 +432,80 @@ def test_medication_and_all_chunks(spark):
     assert kinds["medication"] == sum(len(x) for x in got.values()) and len(kinds) == 4
     assert kinds["appointment"] == catalog.QUERIES["appointment_chunks"](spark, SF).count() and kinds["clinicalRecord"] == catalog.QUERIES["record_chunks"](spark, SF).agg(F.sum("chunks")).first()[0]
     assert every.select("chunk_id").distinct().count() == every.count()
+
+
+def test_stemmed_search_of_four_fields_whole(spark):
+    """``bm25_stemmed`` against BM25 in plain Python: folded and stemmed words of all four fields with their weights."""
+    import unicodedata
+
+    docs = given.chunks(spark, SF).collect()
+    fold = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+    cut = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
+    stems: dict[str, str] = {}
+    term = lambda w: stems.setdefault(w, stem.stem(fold(w)))
+    weights = dict(fulltext.SETTINGS.field_weights)
+    tf, length = {}, {}
+    for r in docs:
+        own: dict[str, float] = {}
+        length[r["chunk_id"]] = 0
+        for f, w in weights.items():
+            words = cut(r[f])
+            length[r["chunk_id"]] += len(words)
+            for x in words:
+                own[term(x)] = own.get(term(x), 0.0) + w
+        tf[r["chunk_id"]] = own
+    n, mean = len(docs), sum(length.values()) / len(docs)
+    df: dict[str, int] = {}
+    for own in tf.values():
+        for t in own:
+            df[t] = df.get(t, 0) + 1
+    want = {}
+    for q in given.queries(spark, SF).collect():
+        asked = [term(w) for w in cut(q["text"]) if len(w) > 2]
+        scored = []
+        for i, own in tf.items():
+            hit = {t for t in asked if t in own}
+            if hit:
+                s = 0.0
+                for t in asked:
+                    if t in own:
+                        idf = math.log((n - df[t] + 0.5) / (df[t] + 0.5))
+                        s += (idf if idf > 0 else 1e-6) * own[t] * 2.2 / (own[t] + 1.2 * (0.25 + 0.75 * length[i] / mean))
+                scored.append((len(hit) < len(set(asked)), round(-s, 6), i))
+        best = [x for x in sorted(scored) if x[0] == min(scored)[0]][:10] if scored else []
+        want[q["query_id"]] = [(i, s) for _, s, i in best]
+    got: dict = {q: [] for q in want}
+    for r in sorted(catalog.QUERIES["bm25_stemmed"](spark, SF).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    for q, rows in want.items():
+        assert [i for i, _ in got[q]] == [i for i, _ in rows] and np.allclose([s for _, s in got[q]], [s for _, s in rows], atol=2e-6), q
+
+
+def test_word_pieces_of_a_real_vocabulary(spark, tmp_path):
+    """Ids, frame and mask of every item against the tokenizers library, with 49,000 pieces read from a JSON file."""
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from chartloom.functions import vectors
+
+    known = json.load(open(public.path("word_bpe_49k.json")))["model"]["vocab"]
+    words = [w.removesuffix("</w>") for w in known if w.endswith("</w>")]
+    pieces = dict.fromkeys([w for w in words if w] + ["##" + w for w in words if w] + [w for w in known if not w.endswith("</w>")] + ["[UNK]"])
+    vocabulary = {w: i + 1000 for i, w in enumerate(pieces)}
+    (tmp_path / "vocabulary.json").write_text(json.dumps(vocabulary))
+    loaded = wordpiece.load_vocabulary(spark, f"file://{tmp_path}/vocabulary.json")
+    assert loaded == vocabulary and len(loaded) > 49_000
+    model = tokenizers.models.WordPiece(vocabulary, unk_token="[UNK]", max_input_chars_per_word=10_000)
+    whole = tokenizers.Tokenizer(model)
+    ids = wordpiece.wordpiece(spark, loaded, vocabulary["[UNK]"])
+    table = spark.read.parquet(f"{SF}/benchmark.parquet").select("text")
+    framed, mask = vectors.model_inputs(F.col("ids"))
+    compared = 0
+    for r in table.select("text", ids(F.col("text")).alias("ids")).select("text", "ids", framed.alias("framed"), mask.alias("mask")).collect():
+        plain = ["".join(c for c in w if c.isalnum() or c in "-'") for w in r["text"].lower().split(" ")]
+        want = [i for w in plain if w for i in whole.encode(w, add_special_tokens=False).ids]
+        if vocabulary["[UNK]"] not in want:
+            assert r["ids"] == want
+            compared += 1
+        frame = [101, *r["ids"][:510], 102]
+        assert r["framed"] == frame + [0] * (512 - len(frame)) and r["mask"] == [1] * len(frame) + [0] * (512 - len(frame))
+    assert compared > 30
