@@ -291,6 +291,20 @@ def deep_think(spark, d):
     return retrieval.deep_think(corpus(spark, d), queries(spark, d), AS_OF)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
 
 
+def word_provider(spark, d) -> vector_index.WordVectors:
+    """Vectors of 64 numbers, made from its hash, for every word of the items and of the follow-up terms."""
+    follow = spark.createDataFrame([(t,) for t in retrieval.FOLLOW_UP_TERMS], "text string")
+    known = table(spark, d, "benchmark").select("text").unionAll(follow).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.pmod(F.xxhash64("word", i), F.lit(2001)) / 1000 - 1)
+    return vector_index.WordVectors(known.select("word", values.alias("vector")), 64)
+
+
+@query("deep_think_vectors")
+def deep_think_vectors(spark, d):
+    """The same with a provider: follow-ups are searched by text and by vector."""
+    return retrieval.deep_think(corpus(spark, d), queries(spark, d), AS_OF, provider=word_provider(spark, d))[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+
+
 @query("source_summaries", f"{_HITS} SELECT query_id, doc_id, left(content, 150) AS preview FROM hits")
 def source_summaries(spark, d):
     return retrieval.summaries(_hits(spark, d)).select("query_id", "doc_id", "preview")

@@ -509,3 +509,41 @@ def test_word_pieces_of_a_real_vocabulary(spark, tmp_path):
         frame = [101, *r["ids"][:510], 102]
         assert r["framed"] == frame + [0] * (512 - len(frame)) and r["mask"] == [1] * len(frame) + [0] * (512 - len(frame))
     assert compared > 30
+
+
+@pytest.mark.parametrize("with_provider", [False, True])
+def test_deep_think_whole(spark, with_provider):
+    """``deep_think`` and ``deep_think_vectors`` against their passes made one by one: a hit counts from where it was first found."""
+    corpus, base = given.corpus(spark, SF), given.queries(spark, SF)
+    provider = given.word_provider(spark, SF) if with_provider else None
+    kind = base.schema["embedding"].dataType.simpleString()
+    first, asked = {}, [(r["query_id"], r["text"], r["embedding"]) for r in base.collect()]
+    hits_schema, vector_passes = None, 0
+    for number in range(retrieval.SETTINGS.passes):
+        parts: dict = {}
+        for q, text, vector in sorted(asked, key=lambda x: (x[0], x[1])):
+            parts.setdefault(q, []).append((text, vector))
+        keyed = [(f"{q}|{i}", text, vector) for q, own in parts.items() for i, (text, vector) in enumerate(own, 1)]
+        frame = spark.createDataFrame(keyed, f"query_id string, text string, embedding {kind}")
+        found = retrieval.search(corpus, frame, retrieval.SETTINGS.multi_pass_top_k, use_vectors=number == 0 or with_provider)
+        hits_schema = found.schema
+        for r in found.collect():
+            q, part = r["query_id"].split("|")
+            vector_passes += number > 0 and r["vector_rank"] is not None
+            at = (number, int(part), r["rank"])
+            key = (int(q), r["doc_id"])
+            if key not in first or at < first[key][0]:
+                first[key] = (at, r)
+        rows = [(q, *[r[c] for c in found.columns if c != "query_id"]) for (q, _), (_, r) in first.items()]
+        columns = ["query_id", *[c for c in found.columns if c != "query_id"]]
+        kinds = {f.name: f.dataType.simpleString() for f in hits_schema} | {"query_id": "bigint"}
+        unique = spark.createDataFrame(rows, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+        more = retrieval.follow_ups(unique, base)
+        vectors = {r["chunk_id"]: r["embedding"] for r in provider.embed(more.select(F.col("text").alias("chunk_id"), F.col("text").alias("content")).distinct()).collect()} if with_provider else {}
+        asked = [(r["query_id"], r["text"], [float(x) for x in vectors[r["text"]]] if r["text"] in vectors else None) for r in more.collect()]
+        if not asked:
+            break
+    want = postprocess.process(unique, base, given.AS_OF, retrieval.SETTINGS.multi_pass_max_chunks).select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+    order = lambda df: sorted(map(tuple, df.select("query_id", "position", "doc_id", "score").collect()))
+    assert order(catalog.QUERIES["deep_think_vectors" if with_provider else "deep_think"](spark, SF)) == order(want)
+    assert not vector_passes or with_provider
