@@ -16,6 +16,7 @@ are frequent and occur in different sets of URLs.
 Repeated rows count as often as they occur, and equal urls get equal verdicts.
 """
 
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -28,6 +29,9 @@ from chartloom.llm import store
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
+#: A rule of the query holds in so many labelled rows at least: with fewer, even one without an exception has a
+#: confidence that may be under MIN_CONFIDENCE (the lower Wilson bound n / (n + z^2), z = 1.64 for 95 % on one side).
+LEAST_ROWS = math.ceil(1.64**2 * MIN_CONFIDENCE / (1 - MIN_CONFIDENCE))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,10 +101,12 @@ def token_classes(baskets: DataFrame, least: float) -> DataFrame:
     return same.select(F.explode("tokens").alias("token"), "item")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> Rules:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least_rows: int = 1) -> Rules:
     """Rules from (url, block) rows, most confident first.  Rows with a null url or label are ignored; no rows, no rules.
 
-    Every rule over support and confidence counts.  One that holds all items of
+    Every rule over support and confidence counts that holds in ``least_rows``
+    rows; where there are few labels this keeps the combinations of a single
+    url's tokens from all being frequent.  One that holds all items of
     an earlier rule can never decide and is left out as it is read.
     """
     from pyspark.ml.fpm import FPGrowth
@@ -109,8 +115,9 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     known = labelled.where("url is not null and block is not null")
     baskets = store.materialize(known.select(F.monotonically_increasing_id().alias("row"), F.filter(tokens_of(F.col("url")), lambda t: t != "h:www").alias("items"), "block"), "baskets")
     total = baskets.count()
-    if not total:
+    if total < max(least_rows, 1):
         return Rules()
+    min_support = max(min_support, least_rows / total)
     classes = store.materialize(token_classes(baskets, min_support * total), "token-classes")
     item_of = {r["token"]: r["item"] for r in classes.collect()}  # bounded by tokens a url / min_support
     mapping = spark.createDataFrame(sorted(item_of.items()), "token string, item string")
@@ -193,4 +200,4 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, mine(labelled_pages(spark, sf_dir))).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, mine(labelled_pages(spark, sf_dir), least_rows=LEAST_ROWS)).select("page_id", "host", "path", "rule", "verdict")

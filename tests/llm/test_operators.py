@@ -787,5 +787,4 @@ def test_pipeline(spark, tmp_path):
     assert not any(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     out = corpus_pipeline.run(spark, d)
     assert out.select("doc_id").distinct().count() == before
-    assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
     store.release(spark)
