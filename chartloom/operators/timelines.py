@@ -43,8 +43,8 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, righ
     both = rows.where("__key is not null and __at is not null").unionByName(other).withColumn("__slice", _slice(F.col("__at"), days))
     so_far = Window.partitionBy("__key", "__slice").orderBy("__at", "__side", "__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("__here", F.last("__right", ignorenulls=True).over(so_far)).where("__side = 1")
-    lasts = both.where("__side = 0").groupBy("__key", "__slice").agg(F.max_by("__right", F.struct("__at", "__order")).alias("__last"))
-    slices = both.groupBy("__key", "__slice").agg(F.count(F.lit(1)).alias("__n")).join(lasts, ["__key", "__slice"], "left")
+    is_right = F.col("__side") == 0
+    slices = both.groupBy("__key", "__slice").agg(F.max_by(F.when(is_right, F.col("__right")), F.when(is_right, F.struct("__at", "__order"))).alias("__last"))
     earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a key and slice
     carried = slices.select("__key", "__slice", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
     joined = found.join(carried, ["__key", "__slice"]).select("__left.*", F.coalesce("__here", "__carried").alias("right"))

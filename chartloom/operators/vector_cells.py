@@ -154,8 +154,8 @@ class CellIndex:
         """(query_id, doc_id, score, rank) as the exact search gives it, from the nearest cells only."""
         asked = self._asked(queries, probes or self.probes)
         sizes = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a cell
-        per_cell = F.create_map(*[F.lit(x) for r in sizes for x in (r["cell"], -(-r["n"] // vector_index.QUERY_BLOCK))]) if sizes else F.create_map(F.lit(REST), F.lit(1))
-        blocked = asked.withColumn("block", F.pmod(F.xxhash64("id"), per_cell[F.col("cell")]))
+        per_cell = self.spark.createDataFrame([(r["cell"], -(-r["n"] // vector_index.QUERY_BLOCK)) for r in sizes], "cell int, blocks bigint")
+        blocked = asked.join(F.broadcast(per_cell), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         pairs = self.blocks([r["cell"] for r in sizes]).join(vector_index.named_queries(vector_index.packed(blocked, "cell", "block")), "cell")
         return vector_index.best_of_pairs(pairs, k, digits)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chartloom.operators import chart, rollups
 from chartloom.sources import history, versions
-from chartloom.streaming import live_view
+from chartloom.streaming import incremental, live_view
 
 EVENTS = "day timestamp, kind string, who string, value double"
 
@@ -112,3 +112,28 @@ def test_live_view_follows_a_stream(spark, tmp_path):
     live_view.compact(spark, path)
     live_view.compact(spark, path)
     assert sum(f["total"] for f in live_view.figures(spark, path).collect()) == sum(not x[5] and x[2] is not None for x in latest.values())
+
+
+def test_a_kept_table_rewrites_touched_buckets_only(spark, tmp_path):
+    """A stream of changes over restarts: the last change of a key wins, other buckets keep their files, replaced ones can go."""
+    r, kind = random.Random(4), "key string, n int, at int"
+    path, check, source = (f"file://{tmp_path}/{n}" for n in ("table", "check", "in"))
+    for batch in range(4):
+        keys = [f"k{i}" for i in range(200)] if batch == 0 else [f"k{r.randrange(220)}" for _ in range(3)]
+        rows = [(k, r.randrange(100), 10 * batch + j % 10) for j, k in enumerate([*keys, *keys[:2]])] + [(f"k{batch}", -1, -5)]
+        rows = [x for x in rows if sum(y[0] == x[0] and y[2] == x[2] for y in rows) == 1]
+        spark.createDataFrame(rows, kind).write.parquet(f"{source}/{batch}")
+        before = dict(versions.current(spark, path)["versions"]) if batch else {}
+        changes = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(source)
+        incremental.keep_table(changes, path, "key", "at", check, buckets=16).awaitTermination()
+        after = dict(versions.current(spark, path)["versions"])
+        changed = {b for b in after if before.get(b) != after[b]}
+        assert len(changed) <= len({x[0] for x in rows}) and all(after[b] == batch for b in changed)
+        want: dict = {}
+        for seen in range(batch + 1):
+            for x in spark.read.parquet(f"{source}/{seen}").collect():
+                if x["key"] not in want or x["at"] > want[x["key"]][2]:
+                    want[x["key"]] = tuple(x)
+        assert sorted(map(tuple, incremental.kept_table(spark, path).select("key", "n", "at").collect())) == sorted(want.values())
+    assert incremental.drop_replaced(spark, path) > 0
+    assert sorted(map(tuple, incremental.kept_table(spark, path).select("key", "n", "at").collect())) == sorted(want.values())
