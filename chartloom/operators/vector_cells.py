@@ -106,7 +106,7 @@ class CellIndex:
         cells = max(1, min(cells or round(total**0.5), MAX_CELLS, MAX_CENTRE_BYTES // (8 * dimension)))
         usual = rows.where((F.size("vector") == dimension) & F.exists("vector", lambda x: x != 0))
         centres = fit_centres(usual, cells, seed) if total else np.zeros((1, dimension))
-        folder = versions.scratch(spark, "cells").rsplit("/", 1)[1]
+        folder = versions.fresh("cells")
         kinds = dict(rows.dtypes)
         index = CellIndex(spark, path, folder, centres, len(centres), 1.0, f"ids array<{kinds['id']}>, vectors array<{kinds['vector']}>, scopes array<string>, cell int")
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/{folder}/centres")

@@ -93,7 +93,7 @@ class LiveIndex:
 
     def _segment(self, older, seq: int, chunks: DataFrame | None, vectors: DataFrame | None, gone: DataFrame | None, fields, stem: bool) -> tuple:
         """Write a segment: what is added, what goes, and the counts of both."""
-        folder = versions.scratch(self.spark, "segment").rsplit("/", 1)[1]
+        folder = versions.fresh("segment")
         at = f"{self.path}/{folder}"
         if chunks is None:
             chunks, vectors = (self._table(n, older[:1]).drop("seq").limit(0) for n in ("chunks", "vectors"))
@@ -142,7 +142,7 @@ class LiveIndex:
         state = self._state()
         s = state["segments"]
         kept, merged = s[:first], s[first:]
-        folder = versions.scratch(self.spark, "segment").rsplit("/", 1)[1]
+        folder = versions.fresh("segment")
         at = f"{self.path}/{folder}"
         for name, key, order in (("chunks", "chunk_id", "chunk_id"), ("vectors", "chunk_id", None), ("postings", "doc_id", "term"), ("lengths", "doc_id", None)):
             rows = self._living(name, merged, key).drop("seq")

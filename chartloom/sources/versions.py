@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 SIGNPOST = "current"
 
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; where it is unset, a local session gets a temporary one and a cluster an error."""
@@ -29,9 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fresh(name: str) -> str:
+    """A folder name that nobody else has."""
+    return f"{name}-{uuid.uuid4().hex}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, until ``release``."""
+    path = f"{shared_folder(spark)}/{fresh(name)}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``scratch`` has named so far; call it when all results that read it have been taken."""
+    for path in _made:
+        delete(spark, path)
+    _made.clear()
 
 
 def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:

