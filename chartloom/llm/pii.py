@@ -38,6 +38,8 @@ SMOOTHING = 1.0
 #: A pair of term and entity counts from so many documents with different texts.
 MIN_TEXTS = 1
 CONTEXT = 64
+#: Bits of the sketch of the texts with spans; as many rows at most as SKETCH_BITS / 64 are broadcast.
+SKETCH_BITS = 1 << 22
 _NAME = "A-Za-z0-9._%+-"
 #: The base patterns with the same valid matches in time linear in the text: a match starts
 #: where a run of its first class starts (or the last match ended), and runs are possessive.
@@ -263,6 +265,23 @@ def sanitised(text, base, terms):
     return F.when(F.size(base) + F.size(terms) == 0, text).otherwise(_let(F.array_sort(spans), rewrite))
 
 
+def _sketched(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rows`` with ``__may``: true for every row whose text hash is among those of ``spans``, and for few others while these are few.
+
+    The sketch has SKETCH_BITS bits, in words of 64, whatever the number of spans.
+    """
+
+    def word_and_bit(text_hash):
+        place = F.pmod(F.xxhash64(text_hash), F.lit(SKETCH_BITS)).cast("bigint")
+        return F.floor(place / 64), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+
+    word, bit = word_and_bit(F.col("__hash"))
+    words = store.materialize(spans.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")), "pii-sketch")  # at most SKETCH_BITS / 64 rows
+    word, bit = word_and_bit(F.col("__text_hash"))
+    sketched = rows.join(F.broadcast(words), word == F.col("__word"), "left")
+    return sketched.withColumn("__may", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, "__may")
+
+
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with sanitised text; rows without a span are unchanged (null stays null)."""
     found = find(docs, id_column, text_column)
@@ -270,7 +289,11 @@ def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     spans = spans.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("__base"), F.coalesce("terms", F.array().cast(TERM)).alias("__terms"))
     spans = store.materialize(spans, "pii-spans")
     rows = docs.select(F.struct("*").alias("__row"), _key(id_column).alias("__own"), F.xxhash64(store.text_of(text_column)).alias("__text_hash"))
-    joined = rows.join(spans, (F.col("__own") == F.col("__key")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    # Only the texts that may have a span are shuffled to their spans.
+    rows = _sketched(rows, spans)
+    found = rows.where("__may").join(spans, (F.col("__own") == F.col("__key")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    none = rows.where("not __may").withColumns({"__base": F.lit(None).cast(spans.schema["__base"].dataType), "__terms": F.lit(None).cast(TERM)})
+    joined = found.select("__row", "__base", "__terms").unionByName(none.select("__row", "__base", "__terms"))
     own = F.col("__row")[text_column]
     text = F.when(F.col("__base").isNull(), own).otherwise(sanitised(own, F.col("__base"), F.col("__terms")))
     return joined.select(*[text.alias(c) if c == text_column else F.col("__row")[c].alias(c) for c in docs.columns])
