@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.config import SETTINGS
-from chartloom.functions.text import any_contains, keywords
+from chartloom.functions.text import any_contains, as_re2, keywords
 
 #: How a query for values starts, and what it mentions; what a passage with values looks like.
 SPEC_STARTS = ("what is", "what are", "what's", "how much", "how many", "list")
@@ -70,10 +70,11 @@ def is_spec_query(text: Column) -> Column:
 
 
 def structure_points(content: Column) -> Column:
+    """3 for a table, 1 for a digit, 2 for each kind of value; patterns are read as DuckDB reads them, since Java takes letters of any script as word characters."""
     pipes = F.length(content) - F.length(F.replace(content, F.lit("|"), F.lit("")))
-    points = F.when(pipes >= 3, 3).otherwise(0) + F.when(content.rlike(r"\p{Nd}"), 1).otherwise(0)
+    points = F.when(pipes >= 3, 3).otherwise(0) + F.when(content.rlike(as_re2(r"\p{Nd}")), 1).otherwise(0)
     for p in SPEC_PATTERNS:
-        points = points + F.when(content.rlike(p), 2).otherwise(0)
+        points = points + F.when(content.rlike(as_re2(p)), 2).otherwise(0)
     return points
 
 
