@@ -161,7 +161,8 @@ _HITS = f"WITH {_bm25(False, 10)}, hits AS (SELECT query_id, doc_id, -score AS s
 
 def _hits(spark, d):
     h = fulltext.search(index(spark, d), queries(spark, d), 10, 6)
-    return h.join(chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), "doc_id").withColumn("score", -F.col("score"))
+    # Ten rows of numbers an item: they go to the texts, which stay where they lie.
+    return F.broadcast(h).join(chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), "doc_id").withColumn("score", -F.col("score"))
 
 
 _STOP = ", ".join(quoted(w) for w in T.KEYWORD_STOP_WORDS)

@@ -48,7 +48,7 @@ class ImpactIndex:
     def build(index: fulltext.TextIndex, path: str) -> ImpactIndex:
         """Write the postings of an index by impact; a rebuilt or merged index needs a new one, as impacts depend on the mean length."""
         s, f = SETTINGS, F.col("weight")
-        whole = index.postings.join(index.lengths.select("doc_id", "length"), "doc_id").crossJoin(index.stats)  # the statistics are one row
+        whole = index.sized().crossJoin(index.stats)  # the statistics are one row
         impact = f * (s.bm25_k1 + 1) / (f + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / F.col("avg_length")))
         # No impact reaches k1 + 1; level 0 is the highest.
         level = F.least(F.floor((1 - F.col("impact") / (s.bm25_k1 + 1)) * LEVELS), F.lit(LEVELS - 1)).cast("int")

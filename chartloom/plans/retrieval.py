@@ -43,8 +43,10 @@ def search(corpus: Corpus, queries: DataFrame, k: int = SETTINGS.top_k, boosts:
     if use_vectors:
         v = vector_index.search(scoped, queries.where(F.col("embedding").isNotNull()), 2 * k, scope=corpus.scope if wants_scope else None, digits=digits)
     fused = hybrid.fuse(v, t, k, digits)
-    stored = corpus.chunks.join(corpus.vectors.select("chunk_id", "embedding"), "chunk_id").withColumnRenamed("chunk_id", "doc_id")
-    hits = fused.drop("rank").join(stored, "doc_id")
+    # 2 k rows of numbers a query: they go to the vectors and then to the chunks, which stay where they lie.
+    fused = F.broadcast(fused.drop("rank").withColumnRenamed("doc_id", "chunk_id"))
+    resolved = fused.join(corpus.vectors.select("chunk_id", "embedding"), "chunk_id")
+    hits = F.broadcast(resolved).join(corpus.chunks, "chunk_id").withColumnRenamed("chunk_id", "doc_id")
     if boosts:
         hits = hybrid.structure_boost(hybrid.keyword_boost(hits, queries), queries)
     return hybrid.top(hits, k)

@@ -4,7 +4,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from chartloom.catalog import retrieval
-from chartloom.operators import hybrid
+from chartloom.operators import fulltext, hybrid
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_structure_points_read_patterns_as_the_sql_does(spark):
@@ -16,3 +18,16 @@ def test_structure_points_read_patterns_as_the_sql_does(spark):
     want = dict(con.execute(f"SELECT n, {retrieval._POINTS} FROM t").fetchall())
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, content string")
     assert {r[0]: r[1] for r in rows.select("n", hybrid.structure_points(F.col("content"))).collect()} == want
+
+
+def test_text_index_tasks_follow_the_documents(spark, monkeypatch):
+    docs = retrieval.chunks(spark, SF).select("chunk_id", "patient_id", "content")
+    asked = retrieval.queries(spark, SF)
+    want = sorted(map(tuple, fulltext.search(fulltext.build(docs, {"content": 2.0}), asked, 10, 6).collect()))
+    monkeypatch.setattr(fulltext, "TASK_DOCS", 10)
+    monkeypatch.setattr(fulltext, "TASK_PAIRS", 400)
+    index = fulltext.build(docs, {"content": 2.0})
+    # A fixed number of documents a task, and no shuffle of words behind it.
+    assert index.postings._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert index.postings.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, fulltext.search(index, asked, 10, 6).collect())) == want
