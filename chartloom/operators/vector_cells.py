@@ -29,6 +29,8 @@ MAX_CENTRE_BYTES = 64 << 20
 BLOCK_ROWS = 1024
 #: So many stored vectors are asked, at most, to measure how many cells a search needs.
 PROBE_SAMPLE = 256
+#: A worker scores so many pairs of vector and centre at once.
+BATCH_SCORES = 1 << 20
 ITERATIONS = 12
 #: The cell of vectors of another dimension, or of no direction; it is always asked.
 REST = -1
@@ -60,15 +62,19 @@ def _cells_of(centres: np.ndarray, best: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            found = [[REST]] * b.num_rows
-            for n, at, matrix in vector_index._groups(b.column(1), b.num_rows):
-                if n == centres.shape[1]:
-                    scores = matrix @ centres.T
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :best]
-                    for row, cells, any_ in zip(at.tolist(), order.tolist(), np.any(matrix, axis=1)):
-                        found[row] = cells if any_ else [REST]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
+        step = max(1, BATCH_SCORES // len(centres))
+        for whole in batches:
+            for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                near = np.full((b.num_rows, min(best, len(centres))), REST, np.int32)
+                count = np.ones(b.num_rows, np.int64)
+                for n, at, matrix in vector_index._groups(b.column(1), b.num_rows):
+                    if n == centres.shape[1]:
+                        some = np.any(matrix, axis=1)
+                        near[at[some]] = np.argsort(-(matrix[some] @ centres.T), axis=1, kind="stable")[:, :best]
+                        count[at[some]] = near.shape[1]
+                kept = np.arange(near.shape[1]) < count[:, None]
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(near[kept], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*b.schema.names, "cells"])
 
     return run
 
