@@ -7,9 +7,11 @@ m + 1 - q (k + 1) q-grams with those m bytes, all within k diagonals of each
 other (text position - item position).  So shared q-grams are counted in
 diagonal bands 2k + 2 wide that overlap by half; in bands that reach the bound,
 so are those of each m bytes, and what reaches it is verified by banded
-alignment: first half-overlapping windows, then, where an item has no match
-among these, the windows at every other offset.  No match within the budget is
-missed; the spans are those of the windows that decided.
+alignment: all half-overlapping windows, and of those at every other offset each
+whose place may lie outside the spans that the former leave.  The spans are
+those of the windows that match.  No match within the budget is missed: it is in
+a span of its item or overlaps one.  One rule holds whatever the sizes of texts,
+items, blocks and steps are; they decide how the work is cut only.
 
 q-grams are 8 bytes, kept exactly as 64-bit numbers.  Texts and items are
 compared with ASCII letters lower-cased and white-space bytes as spaces.
@@ -17,10 +19,10 @@ compared with ASCII letters lower-cased and white-space bytes as spaces.
 In an item under 3 q = 24 bytes the lemma guarantees nothing; it counts verbatim,
 where no letter or digit adjoins one of its own.
 
-Grams that recur (rules of dashes, tables) are counted in bounded steps: a text
-with many hits is cut to the first occurrence of each of its distinct stretches
-of the length of a match, and taken stretch by stretch, against few items at a
-time; an item that has matched there is not sought again.
+Grams that recur (rules of dashes, tables) are counted in bounded steps: where a
+text has many hits, each place is decided at the first that equals it, with all
+around it that can matter, and against few items at a time; what is found there
+holds for its equals too.
 """
 
 from __future__ import annotations
@@ -44,10 +46,8 @@ SEGMENT_CHARS = 16_384
 MAX_HITS = 2_000_000
 #: Recurring grams are counted against items of about this many bytes at a time.
 PART_BYTES = 16_384
-#: Longer texts are searched in overlapping stretches of this many bytes.
+#: Longer texts are searched by stretches of this many bytes.
 STRETCH = 2 << 20
-#: A text and item with more candidates than this are first tried with one of them.
-MANY = 32
 #: With several blocks of items, a task holds this many bytes of text while it takes the blocks in turn.
 GROUP_BYTES = 48 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -114,6 +114,22 @@ class Short:
         return np.concatenate(out, axis=1)
 
 
+def _no_spans() -> list[np.ndarray]:
+    return [np.zeros(0, np.int64)] * 5
+
+
+def _joined(row, item, start, end, edits) -> list[np.ndarray]:
+    """Spans by row, item and start; those of one row and item that overlap or touch become one, with the least edits."""
+    if not len(row):
+        return _no_spans()
+    order = np.lexsort((start, item, row))
+    row, item, start, end, edits = (x[order] for x in (row, item, start, end, edits))
+    pair = np.cumsum(np.r_[0, (np.diff(row) != 0) | (np.diff(item) != 0)]) * (int(end.max()) + 2)
+    last = np.maximum.accumulate(pair + end)
+    new = np.flatnonzero(np.r_[True, (pair + start)[1:] > last[:-1]])
+    return [row[new], item[new], start[new], (last - pair)[np.r_[new[1:], len(row)] - 1], np.minimum.reduceat(edits, new)]
+
+
 class Index:
     """The q-grams of a block of items."""
 
@@ -132,6 +148,7 @@ class Index:
         self.k = (self.m * rate).astype(np.int64)
         self.need = np.maximum(self.m + 1 - Q * (self.k + 1), 1)
         self.reach = int((self.m + self.k).max()) if whole else 0  # no match is longer
+        self.wide = int((self.m + 4 * self.k + 2).max()) if whole else 0  # nor any place that a candidate is aligned in
         g = [grams(p) for p in self.parts]
         gram = np.concatenate(g) if g else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(g)), [len(x) for x in g]) if g else np.zeros(0, np.int64)
@@ -150,14 +167,17 @@ class Index:
             return (mix(g) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def few(self) -> list[Index]:
-        """The same items in several indexes of about PART_BYTES."""
+        """The same items in several indexes of about PART_BYTES and one budget each; ``number`` tells which they are here."""
         if self._few is None:
-            number = np.cumsum(self.length) // PART_BYTES
             self._few = []
-            for k in np.unique(number):
-                one = Index.__new__(Index)
-                one._build([(int(self.item[i]), self.parts[i]) for i in np.flatnonzero(number == k)], self.window, self.rate)
-                self._few.append(one)
+            for k in np.unique(self.k):
+                same = np.flatnonzero(self.k == k)
+                part = np.cumsum(self.length[same]) // PART_BYTES
+                for p in np.unique(part):
+                    one = Index.__new__(Index)
+                    one.number = same[part == p]
+                    one._build([(int(self.item[i]), self.parts[i]) for i in one.number], self.window, self.rate)
+                    self._few.append(one)
         return self._few
 
     def search(self, data: np.ndarray, offsets: np.ndarray):
@@ -173,8 +193,7 @@ class Index:
             if high < offsets[last] and len(row):
                 row, item, start, end = (x[end < high - low] for x in (row, item, start, end))
             found.append(np.array([row + first, item, start + shift, end + shift, np.zeros(len(row), np.int64)]))
-            row, item, start, end, edits = self._search(some, bounds)
-            found.append(np.array([row + first, item, start + shift, end + shift, edits]))
+        found.append(self._search(data, offsets))
         return np.concatenate(found, axis=1)
 
     def _stretches(self, offsets: np.ndarray):
@@ -187,55 +206,121 @@ class Index:
             yield 0, 1, low, min(low + STRETCH, int(offsets[-1]))
 
     def _search(self, data, offsets):
-        at, j, row, each = self._hits(data, offsets)
-        per_row = np.bincount(row, weights=each, minlength=len(offsets) - 1)
-        hot = per_row > MAX_HITS
         found = [np.zeros((5, 0), np.int64)]
-        group = np.cumsum(np.where(hot, 0, per_row)) // MAX_HITS
-        for g in np.unique(group[row[~hot[row]]]):
-            mine = ~hot[row] & (group[row] == g)
-            found.append(np.array(self.verify(data, offsets, *self._bands(at[mine], j[mine], row[mine], each[mine], offsets))))
+        hot = np.full(len(offsets) - 1, len(offsets) == 2 and offsets[-1] > STRETCH)
+        if not hot.any():
+            at, j, row, each = self._hits(data, offsets)
+            per_row = np.bincount(row, weights=each, minlength=len(offsets) - 1)
+            hot = per_row > MAX_HITS
+            group = np.cumsum(np.where(hot, 0, per_row)) // MAX_HITS
+            for g in np.unique(group[row[~hot[row]]]):
+                mine = ~hot[row] & (group[row] == g)
+                found.append(np.array(self.verify(data, offsets, *self._bands(at[mine], j[mine], row[mine], each[mine], offsets))))
         for r in np.flatnonzero(hot):
-            one = data[offsets[r] : offsets[r + 1]]
-            kept = self._distinct(one)
-            for few in self.few():
-                got = few._recurring(one, kept)
-                got[0] += r
-                found.append(got)
+            got = self._in_steps(data[offsets[r] : offsets[r + 1]])
+            got[0] += r
+            found.append(got)
         return np.concatenate(found, axis=1)
 
-    def _distinct(self, text: np.ndarray) -> np.ndarray:
-        """Marks the first occurrence of every distinct stretch of the length of a match, and the end of the text."""
-        kept = np.ones(len(text), bool)
-        n = len(text) - self.reach
-        if n > 0:
-            begin = np.arange(n)
-            _, first = np.unique(run_hashes(text, begin, begin + self.reach), return_index=True)
-            change = np.zeros(len(text) + 1, np.int64)
-            np.add.at(change, np.r_[first, n], 1)
-            np.add.at(change, np.r_[first + self.reach, len(text)], -1)
-            kept = np.cumsum(change[:-1]) > 0
-        return kept
-
-    def _recurring(self, text: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        """Matches in one text with many hits, by stretches of it with a bounded number of them."""
+    def _in_steps(self, text: np.ndarray) -> np.ndarray:
+        """What ``verify`` finds in one text that is long or has many hits, a bounded number of them at a time."""
         offsets = np.array([0, len(text)])
-        at, j, _, each = self._hits(text, offsets)
-        good = kept[at] & kept[at + Q - 1]
-        at, j, each = at[good], j[good], each[good]
-        found, open_, low = [np.zeros((5, 0), np.int64)], np.ones(len(self.parts), bool), 0
-        total = np.r_[0, np.cumsum(each)]
-        while low < len(at) and open_.any():
-            high = int(np.searchsorted(total, total[low] + MAX_HITS, "right")) - 1
-            high = max(high, int(np.searchsorted(at, at[low] + 2 * self.reach)))
-            s = slice(low, high)
-            got = np.array(self.verify(text, offsets, *self._bands(at[s], j[s], np.zeros(len(at[s]), np.int64), each[s], offsets, open_)))
-            open_ &= ~np.isin(self.item, got[1])
-            found.append(got)
-            if high >= len(at):
-                break
-            low = max(low + 1, int(np.searchsorted(at, at[high] - self.reach)))
-        return np.concatenate(found, axis=1)
+        found = _no_spans()
+        for item, begin, band, equal in self._candidates_in_steps(text):
+            coarse = self._coarse(item, begin)
+            found = self._add(found, text, offsets, item[coarse], begin[coarse], band[coarse], equal, self._aligned)
+        cover, found = found, _no_spans()
+        for item, begin, band, equal in self._candidates_in_steps(text):
+            left = ~self._coarse(item, begin)
+            left[left] = self._uncovered(offsets, cover, np.zeros(left.sum(), np.int64), item[left], begin[left], band[left])
+            found = self._add(found, text, offsets, item[left], begin[left], band[left], equal, self._others)
+        row, item, start, end, edits = (np.concatenate(x) for x in zip(cover, found))
+        return np.array([row, self.item[item], start, end, edits])
+
+    def _add(self, found, text, offsets, item, begin, band, equal, align):
+        """``found`` with the matches of candidates, and what equals these."""
+        which, start, end, edits = align(text, offsets, np.zeros(len(item), np.int64), item, begin, band)
+        item, place = item[which], self._place(item, begin, band)[which]
+        if equal is not None and len(item):
+            first, low = equal
+            # Windows of one item and place often agree.
+            (item, place, start, end), which = np.unique(np.array([item, place, start, end]), axis=1, return_inverse=True)
+            least = np.full(len(item), len(text), np.int64)
+            np.minimum.at(least, which.ravel(), edits)
+            order = np.argsort(first, kind="stable")
+            at = np.searchsorted(first[order], place)
+            n = np.searchsorted(first[order], place, "right") - at
+            step = np.cumsum(n) // MAX_HITS
+            for g in np.unique(step):
+                mine = step == g
+                shift = low + order[spread(at[mine], n[mine])] - np.repeat(place[mine], n[mine])
+                one, s, e, d = (np.repeat(x[mine], n[mine]) for x in (item, start, end, least))
+                found = _joined(*[np.concatenate(x) for x in zip(found, (np.zeros(len(one), np.int64), one, s + shift, e + shift, d))])
+            return found
+        return _joined(*[np.concatenate(x) for x in zip(found, (np.zeros(len(item), np.int64), item, start, end, edits))])
+
+    def _candidates_in_steps(self, text: np.ndarray):
+        """(item, begin, band, equal) of a text's candidates; with ``equal`` of those only whose place is the first of its equals."""
+        offsets = np.array([0, len(text)])
+        for low in range(-self.wide, len(text), STRETCH):
+            high = min(low + STRETCH, len(text))
+            begin = max(low, 0)
+            some = text[begin : min(high + self.wide, len(text))]
+            at, j, _, each = self._hits(some, np.array([0, len(some)]))
+            if each.sum() <= MAX_HITS:
+                _, item, start, band = self._bands(at + begin, j, np.zeros(len(at), np.int64), each, offsets)
+                place = self._place(item, start, band)
+                good = (place >= low) & (place < high)
+                yield item[good], start[good], band[good], None
+                continue
+            equals = {}
+            for few in self.few():
+                at, j, _, each = few._hits(some, np.array([0, len(some)]))
+                if not len(at):
+                    continue
+                step = int(few.k[0]) + 1
+                if step not in equals:
+                    equals[step] = self._equals(text, low, high, step)
+                first, kept = equals[step]
+                good = kept[at] & kept[at + Q - 1]
+                at, j, each = at[good] + begin, j[good], each[good]
+                total, a = np.r_[0, np.cumsum(each)], 0
+                while a < len(at):
+                    b = int(np.searchsorted(total, total[a] + MAX_HITS, "right")) - 1
+                    b = max(b, int(np.searchsorted(at, at[a] + 2 * self.wide)))
+                    s = slice(a, b)
+                    _, item, start, band = few._bands(at[s], j[s], np.zeros(len(at[s]), np.int64), each[s], offsets)
+                    place = few._place(item, start, band)
+                    good = (place >= low) & (place < high)
+                    good[good] = first[place[good] - low] == place[good]
+                    yield few.number[item[good]], start[good], band[good], (first, low)
+                    if b >= len(at):
+                        break
+                    a = max(a + 1, int(np.searchsorted(at, at[b] - self.wide)))
+
+    def _equals(self, text: np.ndarray, low: int, high: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """For places that begin at low..high the first equal one, a multiple of ``step`` before; and marks of the text that these first ones hold.
+
+        Equal: with as much text on either side, which decides what other windows
+        list there.  Near the ends of the text every place is its own.
+        """
+        wide, begin = self.wide, max(low, 0)
+        place = np.arange(low, high)
+        first = place.copy()
+        inner = place[(place >= wide) & (place + 2 * wide <= len(text))]
+        if len(inner):
+            base = inner[0] - wide
+            h = run_hashes(text[base : inner[-1] + 2 * wide], inner - wide - base, inner + 2 * wide - base)
+            for r in range(step):
+                mine = np.flatnonzero(inner % step == r)
+                _, one, same = np.unique(h[mine], return_index=True, return_inverse=True)
+                first[inner[mine] - low] = inner[mine[one[same]]]
+        own = place[first == place] - begin
+        size = min(high + wide, len(text)) - begin
+        change = np.zeros(size + 1, np.int64)
+        np.add.at(change, np.clip(own, 0, size), 1)
+        np.add.at(change, np.clip(own + wide, 0, size), -1)
+        return first, np.cumsum(change[:-1]) > 0
 
     def _hits(self, data: np.ndarray, offsets: np.ndarray):
         """Text positions of known grams, the gram's number, the row and in how many item positions it is."""
@@ -254,14 +339,11 @@ class Index:
         """(row, item number, begin in the item, band) with enough shared q-grams; a band starts at diagonal band * (k + 1)."""
         return self._bands(*self._hits(data, offsets), offsets)
 
-    def _bands(self, at, j, row, each, offsets, open_: np.ndarray | None = None):
+    def _bands(self, at, j, row, each, offsets):
         hit = spread(self.first[j] if len(j) else np.zeros(0, np.int64), each)
         item, place = self.owner[hit], self.place[hit]
         row = np.repeat(row, each)
         diagonal = np.repeat(at - offsets[row[np.r_[0, np.cumsum(each)[:-1]]]] if len(at) else at, each) - place
-        if open_ is not None and not open_.all():
-            wanted = open_[item]
-            item, place, row, diagonal = item[wanted], place[wanted], row[wanted], diagonal[wanted]
         step = self.k[item] + 1
         band = diagonal // step
         if not len(row):
@@ -306,31 +388,59 @@ class Index:
         return which[keep], begin[keep]
 
     def verify(self, data, offsets, row, item, begin, band):
-        """Banded semi-global alignment of candidates: (row, item, start, end, edits) of those within budget."""
-        coarse = (begin % self.half == 0) | (begin == self.length[item] - self.m[item])
-        pair, found, settled = row * max(len(self.parts), 1) + item, [], np.zeros(0, np.int64)
-
-        def align(some, margin=0):
-            """Least edits of each, those within budget put into found."""
-            best = np.zeros(len(some), np.int64)
-            for i in range(0, len(some), 2000):
-                at = some[i : i + 2000]
-                start, end, best[i : i + 2000] = self._align(data, offsets, row[at], item[at], begin[at], band[at], margin)
-                good = best[i : i + 2000] <= self.k[item[at]]
-                found.append((pair[at][good], start[good], end[good], best[i : i + 2000][good]))
-            return best
-
-        first = np.flatnonzero(coarse)
-        # Where a pair has many candidates (recurring grams), one in the middle of them may settle it.
-        first = first[np.argsort(pair[first], kind="stable")]
-        _, begins, sizes = np.unique(pair[first], return_index=True, return_counts=True)
-        one = first[(begins + sizes // 2)[sizes > MANY]]
-        settled = pair[one][align(one) <= self.k[item[one]]]
-        first = first[~np.isin(pair[first], settled)]
-        settled = np.r_[settled, pair[first][align(first) <= self.k[item[first]]]]
-        left = np.flatnonzero(~coarse & ~np.isin(pair, settled))
+        """Banded semi-global alignment of candidates: (row, item, start, end, edits) of those within budget that the rule lists."""
+        coarse = self._coarse(item, begin)
+        one = [x[coarse] for x in (row, item, begin, band)]
+        which, *rest = self._aligned(data, offsets, *one)
+        found = [one[0][which], one[1][which], *rest]
+        left = [x[~coarse] for x in (row, item, begin, band)]
+        open_ = self._uncovered(offsets, _joined(*found), *left)
+        left = [x[open_] for x in left]
+        which, *rest = self._others(data, offsets, *left)
+        row, item, *rest = (np.concatenate(x) for x in zip(found, (left[0][which], left[1][which], *rest)))
+        return [row, self.item[item], *rest]
+
+    def _coarse(self, item, begin) -> np.ndarray:
+        return (begin % self.half == 0) | (begin == self.length[item] - self.m[item])
+
+    def _place(self, item, begin, band) -> np.ndarray:
+        """Where the text begins in which a candidate is aligned; may be before the text."""
+        return band * (self.k[item] + 1) - self.k[item] + begin
+
+    def _uncovered(self, offsets, spans, row, item, begin, band) -> np.ndarray:
+        """Whether a candidate's place has room for a match outside of the spans of its item."""
+        k, m, place = self.k[item], self.m[item], self._place(item, begin, band)
+        length = np.diff(offsets)
+        size = int(length.max()) + 2
+        low = np.clip(place, 0, length[row])
+        high = np.clip(place + 4 * k + 2 + m, 0, length[row])
+        pair = (row * len(self.parts) + item) * size
+        owner = (spans[0] * len(self.parts) + spans[1]) * size
+        starts, ends = owner + spans[2], owner + spans[3]
+        total = np.r_[0, np.cumsum(ends - starts)]
+
+        def covered(x):
+            """Bytes of spans before x."""
+            n = np.searchsorted(starts, x, "right")
+            return total[n] - np.where(n > 0, np.maximum(np.r_[0, ends][n] - x, 0), 0)
+
+        return high - low - (covered(pair + high) - covered(pair + low)) >= m - k
+
+    def _aligned(self, data, offsets, row, item, begin, band):
+        """(number, start, end, edits) of the candidates within budget."""
+        found = [[np.zeros(0, np.int64)] * 4]
+        for i in range(0, len(row), 2000):
+            at = np.arange(i, min(i + 2000, len(row)))
+            start, end, best = self._align(data, offsets, row[at], item[at], begin[at], band[at], 0)
+            good = best <= self.k[item[at]]
+            found.append([at[good], start[good], end[good], best[good]])
+        return [np.concatenate(x) for x in zip(*found)]
+
+    def _others(self, data, offsets, row, item, begin, band):
+        """As ``_aligned``, for windows at any offset."""
+        pair, left, near = row * max(len(self.parts), 1) + item, np.arange(len(row)), []
         # Windows d bytes apart differ by at most d edits: one in the middle of a cell rules out its neighbours.
-        for cell in (19, 7, 3, 1):
+        for cell in (19, 7, 3):
             if not len(left):
                 break
             own = begin[left] // cell
@@ -340,15 +450,13 @@ class Index:
             new = np.r_[True, (np.diff(pair[left]) != 0) | (np.diff(band[left]) != 0) | (np.diff(own) != 0)]
             asked, number = left[new], np.cumsum(new) - 1
             margin = int(self.k[item[asked]].max())
-            best = align(asked, margin)
-            settled = pair[asked][best <= self.k[item[asked]]]
+            best = np.concatenate([self._align(data, offsets, row[at], item[at], begin[at], band[at], margin)[2] for at in (asked[i : i + 2000] for i in range(0, len(asked), 2000))])
+            near.append(asked[best <= self.k[item[asked]]])  # in its own place or in the margin
             reach = np.minimum(best - self.k[item[asked]] - 1, margin)
-            open_ = ~new & (np.abs(begin[left] - begin[asked][number]) > reach[number])
-            left = left[open_ & ~np.isin(pair[left], settled)]
-        if not found:
-            return [np.zeros(0, np.int64)] * 5
-        pair, *rest = [np.concatenate(x) for x in zip(*found)]
-        return [pair // len(self.parts), self.item[pair % len(self.parts)], *rest]
+            left = left[~new & (np.abs(begin[left] - begin[asked][number]) > reach[number])]
+        some = np.sort(np.concatenate([*near, left]))
+        which, *rest = self._aligned(data, offsets, row[some], item[some], begin[some], band[some])
+        return [some[which], *rest]
 
     def _align(self, data, offsets, row, item, begin, band, margin):
         k, m = self.k[item], self.m[item]
@@ -361,9 +469,10 @@ class Index:
         length = offsets[row + 1] - offsets[row]
         far = np.int64(1 << 20)
         column = np.arange(width)
+        own = (4 * k + 2 + 2 * margin)[:, None]  # a candidate's place does not follow what it is aligned with
         # cost[r, c]: least edits of the first i pattern bytes ending at text position low + c + i; start is free.
         end = low[:, None] + column
-        cost = np.where((end >= 0) & (end <= length[:, None]), 0, far)
+        cost = np.where((end >= 0) & (end <= length[:, None]) & (column < own), 0, far)
         origin = np.where(cost == 0, end, 0)
         best, best_end, best_start = np.full(len(row), far), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         text, which = offsets[row], np.arange(len(row))
@@ -371,11 +480,11 @@ class Index:
             if i % 16 == 0:  # costs only grow: what is beyond the budget and the margin is left as far
                 good = cost.min(axis=1) <= k + margin
                 if good.mean() < 0.7:
-                    low, length, text, pattern, cost, origin, m, k, which = (x[good] for x in (low, length, text, pattern, cost, origin, m, k, which))
+                    low, length, text, pattern, cost, origin, m, k, which, own = (x[good] for x in (low, length, text, pattern, cost, origin, m, k, which, own))
                     if not len(which):
                         break
             end = low[:, None] + column + i
-            ok = (end >= 0) & (end <= length[:, None])
+            ok = (end >= 0) & (end <= length[:, None]) & (column < own)
             at = np.clip(end - 1, 0, np.maximum(length[:, None] - 1, 0)) + text[:, None]
             differs = (data[np.minimum(at, len(data) - 1)] != pattern[:, i - 1 : i]) | (end < 1)
             diagonal = cost + differs
@@ -395,9 +504,9 @@ class Index:
             done = np.flatnonzero(m == i)
             if len(done):
                 c = cost[done].argmin(axis=1)
-                own = which[done]
-                best[own], best_start[own] = cost[done, c], origin[done, c]
-                best_end[own] = low[done] + c + i
+                to = which[done]
+                best[to], best_start[to] = cost[done, c], origin[done, c]
+                best_end[to] = low[done] + c + i
         return best_start, best_end, best
 
 
@@ -468,10 +577,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", keep:
     """``keep`` columns (all by default) and ``matches``: (item_id, start, end, edits) with byte positions.
 
     Null and empty texts have no match, nor has anything with an empty
-    benchmark; null and empty items match nothing.  Of a stretch that a text
-    repeats, the first occurrence may be the only one listed.  Equal rows get
-    equal results; a column named ``matches`` is replaced.  The documents are
-    read once: a task takes the blocks of items in turn.
+    benchmark; null and empty items match nothing.  Every passage of a text is
+    listed, however often it recurs.  Equal rows get equal results; a column named
+    ``matches`` is replaced.  The documents are read once: a task takes the blocks
+    of items in turn.
     """
     spark = docs.sparkSession
     store.small_batches(spark)

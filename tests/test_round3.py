@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chartloom.catalog import retrieval
+from chartloom.llm import decontaminate
+from chartloom.llm.words import slices
 from chartloom.operators import fulltext, hybrid, vector_cells
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,35 @@ def test_cells_are_scored_in_bounded_batches(monkeypatch):
     assert [r for b in out for r in b.column("id").to_pylist()] == list(range(7))
     assert [r for b in out for r in b.column("cells").to_pylist()] == [[0, 1], [-1], [-1], [-1], [1, 0], [2, 1], [0, 1]]
     assert not list(vector_cells._cells_of(centres, 2)([batch.slice(0, 0)]))
+
+
+def _spans(items, texts):
+    index, out = decontaminate.Index(items), [[] for _ in texts]
+    for first, data, offsets in slices(pa.array(texts, pa.string())):
+        for row, *found in index.search(decontaminate._FOLD[data], offsets).T.tolist():
+            out[first + row].append(tuple(found))
+    return [[tuple(m.values()) for m in decontaminate._merge(f)] for f in out]
+
+
+def test_spans_follow_no_limit_of_size(monkeypatch):
+    r = np.random.default_rng(31)
+    draw = lambda letters, n: "".join(r.choice(list(letters), n))
+    word = "abcdefghijklmnop qrst"
+    items = [(1, draw(word, 400)), (2, draw("--------ab ", 130)), (3, draw("------ab ", 70)), (4, "-" * 120), (5, draw(word, 96))]
+    cell = items[0][1]
+    texts = [
+        # Passages of one item: at half-overlapping windows, at another offset, and twice the same.
+        draw(word, 300) + cell[:200] + draw(word, 333) + cell[217:320] + draw(word, 250) + cell[:200],
+        (items[1][1] + "x" * 57) * 20 + items[2][1] + "-" * 900 + "ab " + items[2][1],
+        draw("--------ab ", 400) + items[1][1] + draw("--------ab ", 300) + cell[5:110] + items[4][1],
+        "-" * 1500,
+    ]
+    want = _spans(items, texts)
+    assert [m[0] for m in want[0]] == [1, 1, 1] and [m[0] for m in want[1]].count(2) == 20 and [m[0] for m in want[3]] == [4]
+    for hits, part, stretch in ((300, 100, 1 << 20), (2_000_000, 16_384, 200), (300, 16_384, 500)):
+        monkeypatch.setattr(decontaminate, "MAX_HITS", hits)
+        monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+        monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+        assert _spans(items, texts) == want and [x for t in texts for x in _spans(items, [t])] == want
+        one_by_one = [_spans([i], texts) for i in items]
+        assert [sorted(m for one in one_by_one for m in one[t]) for t in range(len(texts))] == want
