@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.config import SETTINGS
@@ -24,11 +24,18 @@ from chartloom.sources import versions
 #: ``upkeep`` merges beyond so many segments, and all of them once the later ones hold this part of the documents.
 MAX_SEGMENTS = 8
 REWRITE_PART = 0.25
-#: So many ids of a change are compared as a list that reaches the scan of the stored chunks; more are joined.
+#: So many ids of a change are compared as a list that reaches the scan of the stored chunks; of more the stored counts are taken.
 LISTED_IDS = 1000
+#: So many ids at most are broadcast to the rows they take away (about 40 bytes each).
+BROADCAST_IDS = 1_000_000
 _SIGNPOST = "segments array<struct<seq: int, folder: string, rows: bigint>>, next int, stem boolean, fields map<string, double>"
 
 
+def _by_term(postings: DataFrame) -> DataFrame:
+    """A term in one file, sorted, so that a reader of few terms skips row groups and pages; ranges of terms would first be sampled, which splits all texts twice."""
+    return postings.repartition("term").sortWithinPartitions("term")
+
+
 @dataclass
 class LiveIndex:
     spark: SparkSession
@@ -49,7 +56,9 @@ class LiveIndex:
         older = self._table(name, segments)
         if len(segments) == 1:
             return older
-        gone = self._table("gone", segments[1:]).groupBy("id").agg(F.max("seq").alias("gone_seq"))
+        taken = self._table("gone", segments[1:])
+        gone = taken.groupBy("id").agg(F.max("seq").alias("gone_seq"))
+        gone = F.broadcast(gone) if taken.count() <= BROADCAST_IDS else gone
         return older.join(gone, (F.col(key) == F.col("id")) & (F.col("seq") < F.col("gone_seq")), "left_anti")
 
     def open(self) -> Corpus:
@@ -97,27 +106,40 @@ class LiveIndex:
         at = f"{self.path}/{folder}"
         if chunks is None:
             chunks, vectors = (self._table(n, older[:1]).drop("seq").limit(0) for n in ("chunks", "vectors"))
-        one = F.row_number().over(Window.partitionBy("chunk_id").orderBy(*fields))
-        chunks.withColumn("__n", one).where("__n = 1").drop("__n").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{at}/chunks")
+        fulltext.one_each(chunks, "chunk_id", *fields).repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{at}/chunks")
         added = self.spark.read.parquet(f"{at}/chunks")
         vectors.join(added.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).write.parquet(f"{at}/vectors")
         gone = added.select(F.col("chunk_id").alias("id")).limit(0) if gone is None else gone
         gone.write.parquet(f"{at}/gone")
         index = fulltext.build(added, fields, stem=stem)
-        index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+        _by_term(index.postings).write.parquet(f"{at}/postings")
         index.lengths.write.parquet(f"{at}/lengths")
         added_terms = self.spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         lengths = self.spark.read.parquet(f"{at}/lengths")
         stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
         if older:
-            dropped = fulltext.build(self._stored_chunks(older, self.spark.read.parquet(f"{at}/gone")), fields, stem=stem)
-            added_terms = added_terms.unionAll(dropped.postings.groupBy("term").agg((-F.count(F.lit(1))).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0")
-            minus = dropped.lengths.agg((-F.count(F.lit(1))).alias("n_docs"), (-F.coalesce(F.sum("length"), F.lit(0))).alias("words"))
+            postings, lengths_gone = self._dropped(older, self.spark.read.parquet(f"{at}/gone"), fields, stem)
+            added_terms = added_terms.unionAll(postings.groupBy("term").agg((-F.count(F.lit(1))).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0")
+            minus = lengths_gone.agg((-F.count(F.lit(1))).alias("n_docs"), (-F.coalesce(F.sum("length"), F.lit(0))).alias("words"))
             stats = stats.unionAll(minus).agg(F.sum("n_docs").alias("n_docs"), F.sum("words").alias("words"))
         added_terms.write.parquet(f"{at}/frequencies")
         stats.write.parquet(f"{at}/stats")
         return seq, folder, lengths.count()
 
+    def _dropped(self, segments, gone: DataFrame, fields, stem: bool) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of the living documents with the ids of ``gone``.
+
+        A short list of ids reaches the scan of the chunks, which skips the row
+        groups without them, and their texts are split; of more the stored rows are
+        taken, and no text is read.
+        """
+        if gone.limit(LISTED_IDS + 1).count() <= LISTED_IDS:
+            index = fulltext.build(self._stored_chunks(segments, gone), fields, stem=stem)
+            return index.postings, index.lengths
+        ids = gone.withColumnRenamed("id", "doc_id")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return tuple(self._living(name, segments, "doc_id").join(ids, "doc_id", "left_semi") for name in ("postings", "lengths"))
+
     def _stored_chunks(self, segments, gone: DataFrame) -> DataFrame:
         """The living chunks with the ids of ``gone``.  A short list of ids reaches the scan, which skips the row groups without them."""
         chunks = self._living("chunks", segments, "chunk_id")
@@ -144,9 +166,10 @@ class LiveIndex:
         kept, merged = s[:first], s[first:]
         folder = versions.fresh("segment")
         at = f"{self.path}/{folder}"
-        for name, key, order in (("chunks", "chunk_id", "chunk_id"), ("vectors", "chunk_id", None), ("postings", "doc_id", "term"), ("lengths", "doc_id", None)):
+        by_id = lambda rows: rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
+        for name, key, dealt in (("chunks", "chunk_id", by_id), ("vectors", "chunk_id", None), ("postings", "doc_id", _by_term), ("lengths", "doc_id", None)):
             rows = self._living(name, merged, key).drop("seq")
-            (rows.repartitionByRange(order).sortWithinPartitions(order) if order else rows).write.parquet(f"{at}/{name}")
+            (dealt(rows) if dealt else rows).write.parquet(f"{at}/{name}")
         gone = self._table("gone", merged).select("id").distinct()
         (gone if kept else gone.limit(0)).write.parquet(f"{at}/gone")
         self._table("frequencies", merged).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0").write.parquet(f"{at}/frequencies")

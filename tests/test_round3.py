@@ -9,6 +9,7 @@ from chartloom.catalog import retrieval
 from chartloom.llm import decontaminate
 from chartloom.llm.words import slices
 from chartloom.operators import fulltext, hybrid, vector_cells
+from chartloom.plans import upkeep
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +80,30 @@ def test_spans_follow_no_limit_of_size(monkeypatch):
         assert _spans(items, texts) == want and [x for t in texts for x in _spans(items, [t])] == want
         one_by_one = [_spans([i], texts) for i in items]
         assert [sorted(m for one in one_by_one for m in one[t]) for t in range(len(texts))] == want
+
+
+def test_index_splits_texts_once(spark):
+    docs = retrieval.chunks(spark, SF).select("chunk_id", "patient_id", "content")
+    plan = fulltext.build(docs, {"content": 2.0}).postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_upkeep_counts_of_many_ids_come_from_stored_rows(spark, tmp_path, monkeypatch):
+    docs = retrieval.chunks(spark, SF).select("chunk_id", "patient_id", "content")
+    vectors = retrieval.vectors(spark, SF).select("chunk_id", "embedding")
+    gone = docs.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("id"))
+    index = upkeep.LiveIndex.create(spark, f"file://{tmp_path}/live", docs, vectors, {"content": 1.0})
+    segments = index._state()["segments"]
+    rows = []
+    for listed in (1000, 3):
+        monkeypatch.setattr(upkeep, "LISTED_IDS", listed)
+        dropped = index._dropped(segments, gone, {"content": 1.0}, False)
+        rows.append([sorted(map(tuple, x.select(c).collect())) for x, c in zip(dropped, (["doc_id", "term", "weight", "length"], ["doc_id", "length"]))])
+        plan = dropped[0]._jdf.queryExecution().toString()
+        assert ("split" in plan) == (listed == 1000)
+        index.delete(gone.withColumnRenamed("id", "chunk_id")) if listed == 3 else None
+    assert rows[0] == rows[1] and rows[0][0]
+    left = fulltext.build(docs.where("chunk_id % 3 != 0"), {"content": 1.0})
+    live = index.open().text
+    assert sorted(map(tuple, live.frequencies.collect())) == sorted(map(tuple, left.frequencies.collect()))
+    assert live.stats.first() == left.stats.first()
