@@ -17,7 +17,7 @@ from chartloom.sources.tables import table
 )
 def record_before_visit(spark, d):
     """The latest record of the patient before each visit."""
-    found = timelines.as_of_join(load(spark, d, "appointment"), load(spark, d, "record"), "patient_id", "scheduled_time", "date_recorded", "record_id")
+    found = timelines.as_of_join(load(spark, d, "appointment"), load(spark, d, "record"), "patient_id", "scheduled_time", "date_recorded", "record_id", take=["record_id"])
     return found.select("appointment_id", "right.record_id")
 
 
@@ -27,7 +27,7 @@ def record_before_visit(spark, d):
 )
 def medication_at_record(spark, d):
     """The medication that was written last when a record was made."""
-    found = timelines.as_of_join(load(spark, d, "record"), load(spark, d, "medication"), "patient_id", "date_recorded", "written_date", "rx_id")
+    found = timelines.as_of_join(load(spark, d, "record"), load(spark, d, "medication"), "patient_id", "date_recorded", "written_date", "rx_id", take=["rx_id"])
     return found.select("record_id", "right.rx_id")
 
 

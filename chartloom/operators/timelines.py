@@ -1,9 +1,9 @@
 """As-of and interval joins, episodes and trailing frames over a patient's events (JON-11, WIN-05).
 
-A patient may have any share of the rows, so nothing here puts a whole patient
-into one task: rows are dealt by key and time slice, and what a slice must know
-of others crosses as one row a key and slice (the last value before it, the
-islands at its edges) or as the neighbouring slice's rows.
+A patient may have any share of the rows, so nothing here puts a patient with
+very many into one task: rows are dealt by key and time slice, and what a slice
+must know of others crosses as one row a key and slice (the last value before it,
+the islands at its edges) or as the neighbouring slice's rows.
 
 Times are timestamps; rows whose key or time is null take no part, but rows of
 the left side stay in the as-of join.
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: The width of a time slice, in days.
 SLICE_DAYS = 30
+#: A key with more rows than this is cut into slices by the as-of join.  Rows are counted by the key's hash in so many buckets, so that counting shuffles and collects little.
+KEY_ROWS, BUCKETS = 1 << 18, 1 << 16
 _DAY = 86_400_000_000
 
 
@@ -27,27 +29,50 @@ def _slice(at: Column, days: int) -> Column:
     return F.floor(at / F.lit(days * _DAY))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, order: str, days: int = SLICE_DAYS) -> DataFrame:
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def _crowded(left: DataFrame, right: DataFrame, key: str) -> list[int]:
+    """Numbers of the buckets of keys with more than KEY_ROWS rows of both sides; a key with more is in one of them."""
+    buckets = [df.where(F.col(key).isNotNull()).select(_bucket(key).alias("bucket")) for df in (left, right)]
+    counts = buckets[0].unionAll(buckets[1]).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return [r["bucket"] for r in counts.where(F.col("n") > KEY_ROWS).select("bucket").collect()]  # BUCKETS numbers at most
+
+
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, order: str, days: int = SLICE_DAYS, take: list[str] | None = None) -> DataFrame:
     """``left`` with ``right``: a struct of the latest right row of the key at or before the left time, null where there is none.
 
-    Of right rows at one time the one with the greatest ``order`` counts.  Both
-    sides go into one union; within a key and slice the last right row so far is
-    a running window, and the last of all earlier slices is carried in.
+    Of right rows at one time the one with the greatest ``order`` counts; the
+    struct has the columns ``take`` (all, if not given).  Both sides go into one
+    union, which is shuffled once by key; the last right row so far is a running
+    window.  Only keys with very many rows are dealt by slices of ``days``, too,
+    and the last row of all their earlier slices is carried in.
     """
-    taken = F.struct(*right.columns)
-    rows = left.select(F.col(key).alias("__key"), micros(left_time).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(taken.alias("r")).schema["r"].dataType).alias("__right"), F.lit(None).cast(right.schema[order].dataType).alias("__order"))
+    take = right.columns if take is None else take
+    taken = F.struct(*dict.fromkeys([*take, order]))  # what is sorted by lies in it already
+    rows = left.select(F.col(key).alias("__key"), micros(left_time).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(taken.alias("r")).schema["r"].dataType).alias("__right"))
     known = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
-    other = known.select(F.col(key).alias("__key"), micros(right_time).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), taken.alias("__right"), F.col(order).alias("__order"))
+    other = known.select(F.col(key).alias("__key"), micros(right_time).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), taken.alias("__right"))
     # Left rows without a key or time have no partner and no slice.
     idle = F.col(key).isNull() | F.col(left_time).isNull()
-    both = rows.where("__key is not null and __at is not null").unionByName(other).withColumn("__slice", _slice(F.col("__at"), days))
-    so_far = Window.partitionBy("__key", "__slice").orderBy("__at", "__side", "__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.where("__key is not null and __at is not null").unionByName(other)
+    crowded = _crowded(left.where(~idle), known, key)
+    together = ["__key", "__slice"] if crowded else ["__key"]
+    if crowded:
+        both = both.withColumn("__slice", F.when(_bucket("__key").isin(crowded), _slice(F.col("__at"), days)))  # null: the key is whole
+    in_turn = ("__at", "__side", F.col("__right")[order])
+    so_far = Window.partitionBy(*together).orderBy(*in_turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("__here", F.last("__right", ignorenulls=True).over(so_far)).where("__side = 1")
-    is_right = F.col("__side") == 0
-    slices = both.groupBy("__key", "__slice").agg(F.max_by(F.when(is_right, F.col("__right")), F.when(is_right, F.struct("__at", "__order"))).alias("__last"))
-    earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a key and slice
-    carried = slices.select("__key", "__slice", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
-    joined = found.join(carried, ["__key", "__slice"]).select("__left.*", F.coalesce("__here", "__carried").alias("right"))
+    latest = F.col("__here")
+    if crowded:
+        is_right = F.col("__side") == 0
+        slices = both.where("__slice is not null").groupBy(*together).agg(F.max_by(F.when(is_right, F.col("__right")), F.when(is_right, F.struct("__at", F.col("__right")[order]))).alias("__last"))
+        earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a key and slice
+        carried = slices.select(*together, F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+        found, latest = found.join(carried, together, "left"), F.coalesce("__here", "__carried")
+    wanted = latest if set(take) == {*take, order} else F.when(latest.isNotNull(), F.struct(*[latest[c].alias(c) for c in take]))
+    joined = found.select("__left.*", wanted.alias("right"))
     return joined.unionByName(left.where(idle).withColumn("right", F.lit(None).cast(joined.schema["right"].dataType)))
 
 

@@ -88,6 +88,30 @@ def test_no_key_meets_in_one_task(spark):
     assert len(alone) <= 1
 
 
+@pytest.mark.parametrize("most", [0, 60, 10**9])
+def test_as_of_join_of_crowded_keys(spark, monkeypatch, most):
+    """Every key cut into slices, the hot one only, none: the same rows; a hot key's rows are then dealt by slice as well."""
+    monkeypatch.setattr(timelines, "KEY_ROWS", most)
+    left, right = events(300, 7), events(200, 8, span=300)
+    a, b = (spark.createDataFrame(x, EVENTS) for x in (left, right))
+    crowded = timelines._crowded(a, b, "who")
+    assert len(crowded) == {0: 9, 60: 1, 10**9: 0}[most]
+    found = timelines.as_of_join(a, b, "who", "at", "at", "id", days=20, take=["value"])
+    want = []
+    for i, who, at, v in left:
+        before = [(t, j, x) for j, w, t, x in right if w is not None and w == who and t is not None and at is not None and t <= at]
+        want.append((i, who, at, v, (max(before)[2],) if before else None))
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == want
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "rowframe" in line.lower() and "__here" in line.split(" AS ")[-1]]
+    assert windows and all(("__slice" in line) == bool(crowded) for line in windows)
+
+
+def test_as_of_join_shuffles_its_rows_once(spark):
+    """Rows go to their key once, with the columns that are asked for."""
+    plan = catalog.QUERIES["medication_at_record"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Exchange ") == 1 and "p_name" not in plan and "l_quantity" not in plan
+
+
 def test_empty_timelines(spark):
     none = spark.createDataFrame([], EVENTS)
     assert timelines.as_of_join(none, none, "who", "at", "at", "id").count() == 0 and timelines.episodes(none, "who", "at", 3).count() == 0
