@@ -75,6 +75,7 @@ def kept_index(spark, d) -> LiveIndex:
     index = LiveIndex.create(spark, versions.scratch(spark, "live-index"), docs.where("chunk_id % 5 != 0"), v, {"content": 2.0})
     index.put(docs.where("chunk_id % 5 = 0"), v)
     index.merge()
+    index.drop_old()  # nobody reads what was merged
     index.put(docs.where("chunk_id % 11 = 0").withColumn("content", F.concat("content", F.lit(" "), "content")), v)
     index.delete(docs.where("chunk_id % 7 = 0"))
     return index

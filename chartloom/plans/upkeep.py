@@ -28,12 +28,19 @@ REWRITE_PART = 0.25
 LISTED_IDS = 1000
 #: So many ids at most are broadcast to the rows they take away (about 40 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Segments stay, and a merge has them twice for a while.
+CODEC = "zstd"
 _SIGNPOST = "segments array<struct<seq: int, folder: string, rows: bigint>>, next int, stem boolean, fields map<string, double>"
 
 
-def _by_term(postings: DataFrame) -> DataFrame:
-    """A term in one file, sorted, so that a reader of few terms skips row groups and pages; ranges of terms would first be sampled, which splits all texts twice."""
-    return postings.repartition("term").sortWithinPartitions("term")
+def _by_id(chunks: DataFrame) -> DataFrame:
+    """Sorted by id in each file, so that a reader of few ids skips row groups and pages.  Few rows are dealt by id over the cores; many are written where they are read, for no text is shuffled."""
+    few = chunks.count() <= fulltext.TASK_DOCS * chunks.sparkSession.sparkContext.defaultParallelism
+    return (chunks.repartitionByRange("chunk_id") if few else chunks).sortWithinPartitions("chunk_id")
+
+
+def _store(rows: DataFrame, path: str) -> None:
+    rows.write.option("compression", CODEC).parquet(path)
 
 
 @dataclass
@@ -51,15 +58,20 @@ class LiveIndex:
         parts = [self.spark.read.parquet(f"{self.path}/{s['folder']}/{name}").withColumn("seq", F.lit(s["seq"])) for s in segments]
         return reduce(DataFrame.unionByName, parts)
 
-    def _living(self, name: str, segments, key: str) -> DataFrame:
-        """Rows that no later segment took away; the newest segment's need no look."""
+    def _living(self, name: str, segments, key: str, order: str | None = None) -> DataFrame:
+        """Rows that no later segment took away; the newest segment's need no look.
+
+        They come as they lie in their files; where the rows had to be shuffled,
+        because very many ids were taken away, they are sorted by ``order`` again.
+        """
         older = self._table(name, segments)
         if len(segments) == 1:
             return older
         taken = self._table("gone", segments[1:])
         gone = taken.groupBy("id").agg(F.max("seq").alias("gone_seq"))
-        gone = F.broadcast(gone) if taken.count() <= BROADCAST_IDS else gone
-        return older.join(gone, (F.col(key) == F.col("id")) & (F.col("seq") < F.col("gone_seq")), "left_anti")
+        few = taken.count() <= BROADCAST_IDS
+        living = older.join(F.broadcast(gone) if few else gone, (F.col(key) == F.col("id")) & (F.col("seq") < F.col("gone_seq")), "left_anti")
+        return living if few or order is None else living.sortWithinPartitions(order)
 
     def open(self) -> Corpus:
         """The documents there are, as chunks, vectors and text index."""
@@ -106,14 +118,15 @@ class LiveIndex:
         at = f"{self.path}/{folder}"
         if chunks is None:
             chunks, vectors = (self._table(n, older[:1]).drop("seq").limit(0) for n in ("chunks", "vectors"))
-        fulltext.one_each(chunks, "chunk_id", *fields).repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{at}/chunks")
+        _store(_by_id(fulltext.one_each(chunks, "chunk_id", *fields)), f"{at}/chunks")
         added = self.spark.read.parquet(f"{at}/chunks")
-        vectors.join(added.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).write.parquet(f"{at}/vectors")
+        _store(vectors.join(added.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]), f"{at}/vectors")
         gone = added.select(F.col("chunk_id").alias("id")).limit(0) if gone is None else gone
-        gone.write.parquet(f"{at}/gone")
+        _store(gone, f"{at}/gone")
         index = fulltext.build(added, fields, stem=stem)
-        _by_term(index.postings).write.parquet(f"{at}/postings")
-        index.lengths.write.parquet(f"{at}/lengths")
+        # A file holds the postings of one task's documents by term; all of a term in one file would be a shuffle of every posting.
+        _store(index.postings.sortWithinPartitions("term"), f"{at}/postings")
+        _store(index.lengths, f"{at}/lengths")
         added_terms = self.spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         lengths = self.spark.read.parquet(f"{at}/lengths")
         stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
@@ -122,8 +135,8 @@ class LiveIndex:
             added_terms = added_terms.unionAll(postings.groupBy("term").agg((-F.count(F.lit(1))).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0")
             minus = lengths_gone.agg((-F.count(F.lit(1))).alias("n_docs"), (-F.coalesce(F.sum("length"), F.lit(0))).alias("words"))
             stats = stats.unionAll(minus).agg(F.sum("n_docs").alias("n_docs"), F.sum("words").alias("words"))
-        added_terms.write.parquet(f"{at}/frequencies")
-        stats.write.parquet(f"{at}/stats")
+        _store(added_terms, f"{at}/frequencies")
+        _store(stats, f"{at}/stats")
         return seq, folder, lengths.count()
 
     def _dropped(self, segments, gone: DataFrame, fields, stem: bool) -> tuple[DataFrame, DataFrame]:
@@ -160,20 +173,18 @@ class LiveIndex:
         return True
 
     def merge(self, first: int = 0) -> None:
-        """Write the segments from number ``first`` on as one.  No text is split again: living rows are copied and signed counts added."""
+        """Write the segments from number ``first`` on as one.  No text is split again, and no text or posting is shuffled: living rows are copied in the order they lie in, and signed counts added."""
         state = self._state()
         s = state["segments"]
         kept, merged = s[:first], s[first:]
         folder = versions.fresh("segment")
         at = f"{self.path}/{folder}"
-        by_id = lambda rows: rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
-        for name, key, dealt in (("chunks", "chunk_id", by_id), ("vectors", "chunk_id", None), ("postings", "doc_id", _by_term), ("lengths", "doc_id", None)):
-            rows = self._living(name, merged, key).drop("seq")
-            (dealt(rows) if dealt else rows).write.parquet(f"{at}/{name}")
+        for name, key, order in (("chunks", "chunk_id", "chunk_id"), ("vectors", "chunk_id", None), ("postings", "doc_id", "term"), ("lengths", "doc_id", None)):
+            _store(self._living(name, merged, key, order).drop("seq"), f"{at}/{name}")
         gone = self._table("gone", merged).select("id").distinct()
-        (gone if kept else gone.limit(0)).write.parquet(f"{at}/gone")
-        self._table("frequencies", merged).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0").write.parquet(f"{at}/frequencies")
-        self._table("stats", merged).agg(F.sum("n_docs").alias("n_docs"), F.sum("words").alias("words")).write.parquet(f"{at}/stats")
+        _store(gone if kept else gone.limit(0), f"{at}/gone")
+        _store(self._table("frequencies", merged).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0"), f"{at}/frequencies")
+        _store(self._table("stats", merged).agg(F.sum("n_docs").alias("n_docs"), F.sum("words").alias("words")), f"{at}/stats")
         rows = self.spark.read.parquet(f"{at}/lengths").count()
         versions.publish(self.spark, self.path, _SIGNPOST, ([*kept, (merged[-1]["seq"], folder, rows)], state["next"], state["stem"], state["fields"]))
 

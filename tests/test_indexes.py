@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chartloom import catalog
 from chartloom.catalog import retrieval as given
+from chartloom.functions import text as T
 from chartloom.operators import fulltext, impact_index, vector_cells, vector_index
 from chartloom.plans import upkeep
 from chartloom.sources import versions
@@ -171,6 +172,67 @@ def test_a_change_reads_its_own_rows_only(spark, tmp_path):
     assert "PushedFilters: [In(chunk_id, [5,6])" in plan
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_changes_and_merges_shuffle_no_posting(spark, tmp_path, monkeypatch, broadcast):
+    """A document's postings stay in one file, where they lie by term, and chunks where they were read, through changes and merges; with many ids taken away files are by term still."""
+    monkeypatch.setattr(fulltext, "TASK_DOCS", 4)
+    monkeypatch.setattr(upkeep, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(upkeep, "LISTED_IDS", 5)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    text = {i: " ".join(r.choices(words, k=12)) for i in range(200)}
+    frame = lambda t: live_rows(spark, {i: ("p", x) for i, x in t.items()}, {i: [1.0] for i in t})
+    index = upkeep.LiveIndex.create(spark, f"file://{tmp_path}/live", *frame(text), fields={"content": 2.0})
+    changed = {i: text[i - 1] for i in range(50, 90)}
+    index.put(*frame(changed))
+    index.delete(spark.range(100, 120).toDF("chunk_id"))
+    text = {i: x for i, x in (text | changed).items() if not 100 <= i < 120}
+    for merged in (False, True):
+        if merged:
+            index.merge()
+        for segment in versions.current(spark, index.path)["segments"]:
+            at = f"{index.path}/{segment['folder']}"
+            lying = spark.read.parquet(f"{at}/postings").select("doc_id", "term", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).collect()
+            files, terms = {}, {}
+            for x in sorted(lying, key=lambda x: x["n"]):
+                files.setdefault(x["doc_id"], set()).add(x["file"])
+                terms.setdefault(x["file"], []).append(x["term"])
+            if broadcast or not merged:
+                assert all(len(f) == 1 for f in files.values())
+            # A copy joins files of several tasks, each of which is by term.
+            assert broadcast and merged or all(t == sorted(t) for t in terms.values())
+        live, chunks = index.open(), frame(text)[0]
+        anew = fulltext.build(chunks, {"content": 2.0})
+        assert rows(live.chunks, "chunk_id", "content") == rows(chunks, "chunk_id", "content")
+        assert rows(live.text.postings, "doc_id", "term", "weight", "length") == rows(anew.postings, "doc_id", "term", "weight", "length")
+        assert rows(live.text.frequencies, "term", "df") == rows(anew.frequencies, "term", "df")
+
+
+def test_the_query_keeps_no_merged_segment(spark):
+    index = catalog.indexes.kept_index(spark, "/root/testdata/sf0.001")
+    named = {s["folder"] for s in versions.current(spark, index.path)["segments"]}
+    assert len(named) == 3 and set(versions.folders(spark, index.path)) == named | {versions.SIGNPOST}
+
+
+def test_words_travel_as_one_string(spark):
+    """Texts without a word, null, with all kinds of blanks and marks: the same words, and no list is shuffled."""
+    texts = ["", None, " \t\n", "a", "a a  b", "x\u00a0y\u3000z\u2028w", "e\u0301 \u00e9 E\u0301", "1-2 ___ \u0663", "\u4e2d\u6587 \u4e2d"]
+    docs = spark.createDataFrame([(i, "p", t, t and t[::-1]) for i, t in enumerate(texts)], "chunk_id bigint, patient_id string, content string, title string")
+    for fields in ({"content": 2.0}, {"content": 2.0, "title": 0.5}):
+        index = fulltext.build(docs, fields)
+        want, lengths = {}, {}
+        for f, w in fields.items():
+            for r in docs.select("chunk_id", T.words(F.coalesce(f, F.lit(""))).alias("t")).collect():
+                lengths[r["chunk_id"]] = lengths.get(r["chunk_id"], 0) + len(r["t"])
+                for t in r["t"]:
+                    want[r["chunk_id"], t] = want.get((r["chunk_id"], t), 0) + w
+        assert {(r["doc_id"], r["term"]): r["weight"] for r in index.postings.collect()} == want
+        assert {(r["doc_id"], r["length"]) for r in index.postings.collect()} == {(i, lengths[i]) for i, _ in want}
+        assert rows(index.lengths, "doc_id", "length") == sorted(lengths.items())
+        dealt = index.postings._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1]
+        assert "array_join" in dealt.splitlines()[1]
+
+
 def test_repeated_ids_keep_one_row(spark):
     docs = spark.createDataFrame([(1, "p", "b b"), (1, "p", "a c"), (2, "p", "d"), (None, "p", "x"), (None, "p", "y")], "chunk_id bigint, patient_id string, content string")
     one = rows(fulltext.one_each(docs, "chunk_id", "content"), "content")
